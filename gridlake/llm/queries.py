@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import jaccard_join, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +20,8 @@ def _table(spark, sf, name):
 @query
 def op9_quality_rules(spark, sf):
     return quality_rules.repetition_coverage(_table(spark, sf, "documents"))
+
+
+@query
+def op8_ngram_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_components(_table(spark, sf, "documents"))
