@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules
+from . import jaccard_join, packing, quality_rules
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def op9_quality_rules(spark, sf):
     return quality_rules.repetition_coverage(_table(spark, sf, "documents"))
 
 
+@query
+def op6_best_fit_packing(spark, sf):
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(_table(spark, sf, "documents"))
