@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, quality_rules
+from . import jaccard_join, packing, quality_rules, substring_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op6_best_fit_packing(spark, sf):
     return packing.pack(_table(spark, sf, "documents"))
 
 
+@query
+def op7_substring_dedup(spark, sf):
+    return substring_dedup.remove_repeats(_table(spark, sf, "documents")).drop("kept")
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(_table(spark, sf, "documents"))
