@@ -112,7 +112,7 @@ def _keys(df: DataFrame, ngram: int, samples: bool) -> DataFrame:
 
 
 def _sets(df: DataFrame, ngram: int) -> DataFrame:
-    """Of (key, text): (key, n, items) with the shingles as bytes, where the text has that key."""
+    """Of (key, text): (key, n, items, bits) with the shingles and their bitmap as bytes, where the text has that key."""
 
     def run(batches):
         for b in batches:
@@ -123,9 +123,9 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
                 want = b.column(0).slice(lo, hi - lo)
                 keep = np.flatnonzero((set_key(sums, n) == np.asarray(want.fill_null(0))) & (n > 0))
                 items = [h[edge[i] : edge[i + 1]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary())], ["key", "n", "items"])
+                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), pa.array([parity(np.frombuffer(x, np.uint64)) for x in items], pa.binary())], ["key", "n", "items", "bits"])
 
-    return df.mapInArrow(run, "key long, n long, items binary").dropDuplicates(["key"])
+    return df.mapInArrow(run, "key long, n long, items binary, bits binary").dropDuplicates(["key"])
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -140,8 +140,36 @@ def _signed(sets: DataFrame) -> DataFrame:
     return sets.select("key", "items").mapInArrow(run, "sig long, key long")
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each of 1.5 to 3 buckets a feature, set where the bucket holds an odd number of features. The bits in
+    which two sets differ, in any folding of the buckets, are no more than the features in which they differ."""
+    size = 1 << max(6, int(np.ceil(np.log2(1.5 * len(h)))))
+    odd = np.bincount((tk.mix(h ^ tk.U64(0x77)) & tk.U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """The bitmaps as rows of words, each folded to the size of the smallest."""
+    least = min(map(len, bits))
+    out = np.empty((len(bits), least // 8), np.uint64)
+    for i, x in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0)
+    return out
+
+
+def _may(n1, n2, differ, percent: int):
+    """Whether sets of these sizes that differ in so many features or more can be similar."""
+    return (differ * (100 + percent) <= (n1 + n2) * (100 - percent)) & (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar."""
+    """The pairs (u, v) whose sets are similar: first by their bitmaps, then on the whole sets."""
+
+    def sift(batches):
+        for b in batches:
+            n1, n2, one, two = np.asarray(b.column(2)), np.asarray(b.column(3)), b.column(4).to_pylist(), b.column(5).to_pylist()
+            differ = np.array([int(np.bitwise_count(f[0] ^ f[1]).sum()) for f in (_folded([x, y]) for x, y in zip(one, two, strict=True))], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(_may(n1, n2, differ, percent), pa.bool_()))
 
     def run(batches):
         for b in batches:
@@ -149,35 +177,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    size = F.col("n1") * 100 >= percent * F.col("n2")
-    near = pairs.join(sets.select(F.col("key").alias("u"), F.col("n").alias("n1")), "u").join(sets.select(F.col("key").alias("v"), F.col("n").alias("n2")), "v").where(size & (F.col("n2") * 100 >= percent * F.col("n1")))
+    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv")
+    near = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(sift, "u long, v long")
     one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return near.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def _cross(groups: DataFrame, percent: int) -> DataFrame:
-    """Of groups (sig, block, mine, key, component, items): links between a block's own members and all others of other components."""
-
-    def run(table: pa.Table) -> pa.Table:
-        mine, key, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("mine", "key", "component"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        n = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        u, v = [], []
-        for i in np.flatnonzero(mine):
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            size = hi - lo
-            at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)])[:-1], size)
-            both = np.bincount(owner[at], minlength=len(sets))
-            ok = np.flatnonzero((100 * both >= percent * (n[i] + n - both)) & (comp != comp[i]))
-            ok = ok[np.unique(comp[ok], return_index=True)[1]]  # one link to each other component
-            u += [key[i]] * len(ok)
-            v += key[ok].tolist()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return groups.groupBy("sig", "block").applyInArrow(run, "u long, v long")
+    return near.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def _across(groups: DataFrame, percent: int) -> DataFrame:
+    """Of groups (left, right: members (key, component, n, bits)): pairs (u, v) of a left and a right member, or of two
+    left ones where right is empty, in different components, that their bitmaps leave possible."""
+
+    def run(batches):
+        for b in batches:
+            for left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                both = left + right
+                key, comp, n = (np.array([x[c] for x in both], np.int64) for c in ("key", "component", "n"))
+                bits, m = _folded([x["bits"] for x in both]), len(left)
+                for i in range(m):
+                    o = slice(m, None) if right else slice(i + 1, None)
+                    ok = _may(n[i], n[o], np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64), percent) & (comp[o] != comp[i])
+                    if ok.any():
+                        v = key[o][ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, key[i])), pa.array(np.maximum(v, key[i]))], ["u", "v"])
+
+    return groups.mapInArrow(run, "u long, v long").distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
@@ -215,9 +238,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     member = grouped.select("sig", F.col("v").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
     mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    spread = member.join(mixed, "sig").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = spread.join(sets.select("key", "items"), "key").select("sig", "block", (F.col("own") == F.col("block")).alias("mine"), "key", "component", "items")
-    more = cut(_cross(groups, percent))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    # each block of a group meets itself and every other block: (b, b) and (low, high)
+    spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.join(sets.select("key", "n", "bits"), "key").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.struct("key", "component", "n", "bits").alias("x"))
+    rows = spread.groupBy("sig", "low", "high").agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("x"))).alias("left"), F.collect_list(F.when(F.col("own") != F.col("low"), F.col("x"))).alias("right"))
+    more = cut(_verified(_across(rows.where("size(left) > 0").select("left", "right"), percent), sets, percent))
     comp = components(comp.toDF("u", "v").union(more))
 
     smallest = classes.join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("first.id").alias("least"))
