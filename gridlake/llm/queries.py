@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, packing, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, packing, quality_rules, substring_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def op9_quality_rules(spark, sf):
     return quality_rules.repetition_coverage(_table(spark, sf, "documents"))
 
 
+@query
+def op1_benchmark_decontamination(spark, sf):
+    return decontamination.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 @query
 def op6_best_fit_packing(spark, sf):
     return packing.pack(_table(spark, sf, "documents"))
