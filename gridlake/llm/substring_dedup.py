@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .graph import cut
 
 WINDOW = 35
 _POS = 24
@@ -55,43 +56,50 @@ class Anchors:
 
 
 def _spots(docs: DataFrame, target: int) -> DataFrame:
-    """(short, long, dk, spot) of the anchors of (id, text, dk): hashes at level 1 and 2, the document, and 2 * word + back."""
+    """(short, ahead, back, th, word) of the anchors of (id, text, th): hashes at level 1 and of its one or two doubled
+    windows, the text, and the anchor's word."""
 
     def run(batches):
         for b in batches:
-            dk = np.asarray(b.column(2))
+            th = np.asarray(b.column(2))
             for lo, _, t in tk.texts_of(b.column(1)):
                 a = Anchors(t, target)
-                spot, i = np.unique(a.anchor * 2 + a.back, return_index=True)
-                if len(spot):
-                    at, back, text = spot // 2, spot % 2 == 1, a.text[i]
-                    cols = [a.grams[at].view(np.int64), a.halves(at, back).view(np.int64), dk[lo + text], spot - 2 * a.first[text]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["short", "long", "dk", "spot"])
+                at, i = np.unique(a.anchor, return_index=True)
+                if len(at):
+                    sides = []
+                    for side in (False, True):
+                        used = np.isin(at, a.anchor[a.back == side])
+                        h = np.zeros(len(at), np.uint64)
+                        h[used] = a.halves(at[used], np.full(used.sum(), side))
+                        sides.append(pa.array(h.view(np.int64), mask=~used))
+                    cols = [pa.array(a.grams[at].view(np.int64)), *sides, pa.array(th[lo + a.text[i]]), pa.array(at - a.first[a.text[i]])]
+                    yield pa.RecordBatch.from_arrays(cols, ["short", "ahead", "back", "th", "word"])
 
-    return docs.mapInArrow(run, "short long, long long, dk long, spot long")
+    return docs.mapInArrow(run, "short long, ahead long, back long, th long, word long")
 
 
 def _windows(docs: DataFrame, target: int) -> DataFrame:
-    """(h, dk, word) of the target windows of (id, text, dk, spots) whose anchor is among spots."""
+    """(h, th, word) of the target windows of (id, text, th, spots) whose anchor is among spots, each 2 * word + back."""
 
     def run(batches):
         for b in batches:
-            dk, spots = np.asarray(b.column(2)), b.column(3)
+            th, spots = np.asarray(b.column(2)), b.column(3)
             for lo, hi, t in tk.texts_of(b.column(1)):
                 a = Anchors(t, target)
                 part = spots.slice(lo, hi - lo)
                 size = np.asarray(part.value_lengths().fill_null(0))
                 have = np.asarray(part.flatten()) + np.repeat(2 * a.first[:-1], size)
                 ok = np.isin(a.anchor * 2 + a.back, have)
-                cols = [a.key[ok].view(np.int64), dk[lo + a.text[ok]], a.at[ok] - a.first[a.text[ok]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "dk", "word"])
+                cols = [a.key[ok].view(np.int64), th[lo + a.text[ok]], a.at[ok] - a.first[a.text[ok]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "th", "word"])
 
-    return docs.mapInArrow(run, "h long, dk long, word long")
+    return docs.mapInArrow(run, "h long, th long, word long")
 
 
-def _elsewhere(df: DataFrame, key: str) -> DataFrame:
-    """The rows whose key another row has too."""
-    return df.join(df.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(key), key, "left_semi")
+def _elsewhere(df: DataFrame, key: str, of: DataFrame | None = None) -> DataFrame:
+    """The rows of df whose key occurs twice or more in ``of`` (df unless given)."""
+    of = df if of is None else of
+    return df.join(of.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(key), key, "left_semi")
 
 
 def _cleaned(docs: DataFrame, target: int) -> DataFrame:
@@ -102,12 +110,14 @@ def _cleaned(docs: DataFrame, target: int) -> DataFrame:
                 part = b.column(3).slice(lo, hi - lo)
                 at = np.asarray(part.flatten()) + np.repeat(first[:-1], np.asarray(part.value_lengths().fill_null(0)))
                 gone = tk.covered(at, target, len(starts))
+                n, copied = np.diff(first), np.asarray(b.column(4))[lo:hi]
+                gone |= np.repeat(copied & (n >= target), n)
                 raw, kept = t.data.tobytes(), []
                 for i in range(t.n):
                     keep = np.flatnonzero(~gone[first[i] : first[i + 1]]) + first[i]
                     kept.append(b" ".join([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True)]))
-                n, cut = np.diff(first), tk.per_text(gone, first)
-                cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(cut, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+                lost = tk.per_text(gone, first)
+                cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string")
@@ -123,9 +133,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if target < 4:
         raise ValueError("the target needs four words or more")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("dk"))
-    level1 = _elsewhere(_spots(docs, target), "short")
-    level2 = _elsewhere(level1.select("long", "dk", "spot"), "long").groupBy("dk").agg(F.collect_set("spot").alias("spots"))
-    level3 = _elsewhere(_windows(docs.join(level2, "dk").select("id", "text", docs["dk"], "spots"), target), "h")
-    removed = level3.groupBy("dk").agg(F.collect_set("word").alias("at"))
-    return _cleaned(docs.join(removed, "dk", "left").select("id", "text", docs["dk"], "at"), target).withColumnRenamed("id", id_col)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    copies = docs.groupBy("th").agg((F.count("*") > 1).alias("copied"))
+    level1 = cut(_elsewhere(_spots(docs, target), "short").select("ahead", "back", "th", "word"))
+    sides = F.explode(F.array(F.struct(F.col("ahead").alias("long"), (F.col("word") * 2).alias("spot")), F.struct(F.col("back").alias("long"), (F.col("word") * 2 + 1).alias("spot"))))
+    halves = level1.select("th", sides.alias("x")).select("x.long", "th", "x.spot").where("long is not null")
+    level2 = cut(_elsewhere(halves, "long").groupBy("th").agg(F.collect_set("spot").alias("spots")))
+    # a text with copies is repeated throughout: its windows count for others, its own words need no list
+    every = docs.join(copies, "th")
+    left = _windows(every.where("not copied").join(level2, "th").select("id", "text", "th", "spots"), target)
+    both = _windows(every.join(level2, "th").select("id", "text", "th", "spots"), target)
+    removed = _elsewhere(left, "h", both).groupBy("th").agg(F.collect_set("word").alias("at"))
+    return _cleaned(every.join(removed, "th", "left").select("id", "text", "th", "at", "copied"), target).withColumnRenamed("id", id_col)
