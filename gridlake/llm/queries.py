@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, packing, pii, quality_rules, substring_dedup
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op1_benchmark_decontamination(spark, sf):
     return decontamination.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+@query
+def op4_pii(spark, sf):
+    return pii.find(_table(spark, sf, "documents"))
+
+
 @query
 def op6_best_fit_packing(spark, sf):
     return packing.pack(_table(spark, sf, "documents"))
