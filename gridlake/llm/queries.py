@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, pii, quality_rules, substring_dedup
+from . import decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op1_benchmark_decontamination(spark, sf):
     return decontamination.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+@query
+def op2_quality_classifier(spark, sf):
+    return quality_classifier.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 @query
 def op4_pii(spark, sf):
     return pii.find(_table(spark, sf, "documents"))
@@ -45,3 +50,8 @@ def op7_substring_dedup(spark, sf):
 @query
 def op8_ngram_jaccard_join(spark, sf):
     return jaccard_join.jaccard_components(_table(spark, sf, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf):
+    return toxicity.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
