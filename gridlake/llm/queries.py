@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op2_quality_classifier(spark, sf):
     return quality_classifier.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+@query
+def op3_html_extraction(spark, sf):
+    return html_extraction.extract(_table(spark, sf, "pages"))
+
+
 @query
 def op4_pii(spark, sf):
     return pii.find(_table(spark, sf, "documents"))
