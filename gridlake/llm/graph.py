@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir and read back, so that lost executors cost nothing.
-
-    Where the session names no such folder (tests on one machine) a temporary one is set.
-    """
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where none is named (tests on one machine), a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridlake-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

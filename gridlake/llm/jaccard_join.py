@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -249,3 +249,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     smallest = classes.join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("first.id").alias("least"))
     label = classes.select("key", F.col("first.id").alias("own")).join(comp.withColumnRenamed("node", "key").join(smallest, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "own").alias("component_id"))
     return keys.join(label, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
+    """df, with all its columns, but one row of each component: that of the component's smallest id.
+
+    Rows without words are linked with nothing and stay. Of several rows with the id that stays the first text in hash
+    order is taken. Rows with a null id all stay. Other columns are carried along untouched.
+    """
+    comp = jaccard_components(df, id_col, text_col, ngram, percent).where(F.col(id_col).isNotNull())
+    ids = comp.groupBy(id_col).agg(F.max(F.col("component_id") == F.col(id_col)).alias("stays"), F.count("*").alias("gridlake_rows")).where("stays").select(F.col(id_col).alias("gridlake_id"), "gridlake_rows")
+    left = df.join(ids, F.col(id_col) == F.col("gridlake_id"))
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col)))
+    first = left.where("gridlake_rows > 1").withColumn("gridlake_rank", rank).where("gridlake_rank = 1")
+    return left.where("gridlake_rows = 1").select(df.columns).union(first.select(df.columns)).union(df.where(F.col(id_col).isNull()))

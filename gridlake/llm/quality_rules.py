@@ -58,6 +58,30 @@ def measure(t: tk.Texts, lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
     return out
 
 
+def verdict(m: dict[str, np.ndarray], coverage: dict[int, float], line_coverage: float, symbol_share: float, min_words: int) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(base_failed, kept, covered shares)."""
+    n = m["n_words"]
+    failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
+    kept = ~failed & (m["n_symbols"] <= symbol_share * m["word_chars"])
+    limits = {f"cover_{k}": most for k, most in sorted(coverage.items())} | {"cover_lines": line_coverage}
+    share = {k: m[k] / np.maximum(m["word_chars"], 1) for k in limits}
+    for k, most in limits.items():
+        kept &= share[k] <= most
+    return failed, kept, share
+
+
+def passing(df: DataFrame, text_col: str = "text", coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, symbol_share: float = SYMBOL_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """df, with all its columns, without the rows that repetition_coverage() does not keep."""
+    coverage, at = COVERAGE if coverage is None else coverage, df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            keep = [verdict(measure(t, tuple(coverage)), coverage, line_coverage, symbol_share, min_words)[1] for _, _, t in tk.texts_of(b.column(at))]
+            yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def repetition_coverage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, symbol_share: float = SYMBOL_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of df: id_col, the counts, the covered shares, base_failed and kept.
 
@@ -70,18 +94,12 @@ def repetition_coverage(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = df.schema[id_col].dataType.simpleString()
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     shares = [f"cover_{n}" for n in lengths] + ["cover_lines"]
-    limits = [coverage[n] for n in lengths] + [line_coverage]
 
     def run(batches):
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(1)):
                 m = measure(t, lengths)
-                n = m["n_words"]
-                failed = (n < min_words) | (100 * m["n_repeat_words"] > 50 * n)
-                kept = ~failed & (m["n_symbols"] <= symbol_share * m["word_chars"])
-                share = {k: m[k] / np.maximum(m["word_chars"], 1) for k in shares}
-                for k, most in zip(shares, limits, strict=True):
-                    kept &= share[k] <= most
+                failed, kept, share = verdict(m, coverage, line_coverage, symbol_share, min_words)
                 cols = [b.column(0).slice(lo, hi - lo), *(pa.array(m[k], pa.int64()) for k in counts), pa.array(failed), pa.array(kept), *(pa.array(share[k]) for k in shares)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", *counts, "base_failed", "kept", *shares])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extraction, jaccard_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import decontamination, html_extraction, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op4_pii(spark, sf):
     return pii.find(_table(spark, sf, "documents"))
 
 
+@query
+def op5_lm_scoring(spark, sf):
+    return lm_scoring.score(_table(spark, sf, "documents"))
+
+
 @query
 def op6_best_fit_packing(spark, sf):
     return packing.pack(_table(spark, sf, "documents"))
