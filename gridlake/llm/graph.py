@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so after a collection of the
+    driver's garbage, which may otherwise be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (u, v).
 

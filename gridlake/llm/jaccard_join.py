@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import components, cut
+from .graph import components, cut, release
 
 NGRAM = 5
 SMALL = 12
@@ -125,7 +125,26 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
                 items = [h[edge[i] : edge[i + 1]].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), pa.array([parity(np.frombuffer(x, np.uint64)) for x in items], pa.binary())], ["key", "n", "items", "bits"])
 
-    return df.mapInArrow(run, "key long, n long, items binary, bits binary").dropDuplicates(["key"])
+    return df.mapInArrow(run, "key long, n long, items binary, bits binary")
+
+
+#: Bits of the filter that thins out texts before they are moved: a fixed size, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def _thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of (id, th, text) whose th may be in wanted: none of those is lost, and a join sorts out the rest."""
+    word = F.pmod("th", F.lit(FILTER_BITS))
+    rows = wanted.select(F.floor(word / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(pmod(th, {FILTER_BITS}), 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[np.asarray(rows.column("at").combine_chunks())] = np.asarray(rows.column("bits").combine_chunks())
+
+    def run(batches):
+        for b in batches:
+            at = np.asarray(b.column(1)) % FILTER_BITS
+            yield b.filter(pa.array((bits[at // 64] >> (at % 64)) & 1 == 1))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -141,9 +160,9 @@ def _signed(sets: DataFrame) -> DataFrame:
 
 
 def parity(h: np.ndarray) -> bytes:
-    """A bit for each of 1.5 to 3 buckets a feature, set where the bucket holds an odd number of features. The bits in
+    """A bit for each of 1 to 2 buckets a feature, set where the bucket holds an odd number of features. The bits in
     which two sets differ, in any folding of the buckets, are no more than the features in which they differ."""
-    size = 1 << max(6, int(np.ceil(np.log2(1.5 * len(h)))))
+    size = 1 << max(6, int(np.ceil(np.log2(max(len(h), 1)))))
     odd = np.bincount((tk.mix(h ^ tk.U64(0x77)) & tk.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -211,8 +230,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     its own id. Equal ids are rows of their own. A component whose ids are all null has a null component_id.
     Ties go to the smaller id. Columns of df other than the two named are not read. No rows give no rows.
 
-    Steps: (1) sampled shingles, with partial aggregation, rule out sets that share less than 1/16 of their sample
-    with any other set (similar sets do so with a chance under 1e-8); (2) the sets of the rest are built once for
+    Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
+    others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
     each class of equal sets; (3) PartEnum signatures; every member of a signature group is verified against the
     group's smallest member; (4) groups that still hold several components are compared across them, in blocks.
     Class and shingle hashes have 64 bits.
@@ -224,15 +243,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = _keys(docs, ngram, True)
     shared = seen.groupBy("h").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
     back = seen.join(shared, "h", "left_semi").groupBy("key").agg(F.count_distinct("h").alias("met"))
-    classes = keys.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "th")).alias("first"), F.max("n").alias("n"))
-    bits = F.greatest(F.floor(F.log2(F.col("n") / SAMPLE)), F.lit(0))
-    hopeful = back.join(classes, "key").where(F.col("met") * 16 >= F.col("n") / F.pow(F.lit(2.0), bits) / 2).select("key", F.col("first.id").alias("id"), F.col("first.th").alias("th"))
-    wanted = hopeful.withColumnRenamed("id", "w_id").withColumnRenamed("th", "w_th")
-    sets = cut(_sets(docs.join(wanted, docs["id"].eqNullSafe(wanted["w_id"]) & (docs["th"] == wanted["w_th"])).select("key", "text"), ngram))
+    rows = keys.where("key is not null").groupBy("key", "id", "th").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    classes = rows.groupBy("key").agg(F.min(F.struct("id", "th", "rows")).alias("first"), F.max("n").alias("n"))
+    rate = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("n") / SAMPLE)), F.lit(0)))
+    # a partner of the next size up has half the sample; where none can be that large, much more has to be shared
+    least = F.when(F.col("n") * 4 < 3 * 2 * SAMPLE * rate, 6).otherwise(12)
+    hopeful = cut(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"))
+    release(df.sparkSession)
+    wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
+    found = _thinned(docs, hopeful).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
+    alone, often = (_sets(found.where(c).select("key", "text"), ngram) for c in ("rows = 1", "rows > 1"))
+    sets = cut(alone.union(often.dropDuplicates(["key"])))
+    release(df.sparkSession)
 
     signed = _signed(sets)
     pivots = signed.groupBy("sig").agg(F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig", "u")
     grouped = cut(signed.join(pivots, "sig").select("sig", "u", F.col("key").alias("v")))
+    release(df.sparkSession)
     links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent))
     comp = components(links)
     member = grouped.select("sig", F.col("v").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import cut
+from .graph import cut, release
 
 WINDOW = 35
 _POS = 24
@@ -136,6 +136,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     copies = docs.groupBy("th").agg((F.count("*") > 1).alias("copied"))
     level1 = cut(_elsewhere(_spots(docs, target), "short").select("ahead", "back", "th", "word"))
+    release(df.sparkSession)
     sides = F.explode(F.array(F.struct(F.col("ahead").alias("long"), (F.col("word") * 2).alias("spot")), F.struct(F.col("back").alias("long"), (F.col("word") * 2 + 1).alias("spot"))))
     halves = level1.select("th", sides.alias("x")).select("x.long", "th", "x.spot").where("long is not null")
     level2 = cut(_elsewhere(halves, "long").groupBy("th").agg(F.collect_set("spot").alias("spots")))
