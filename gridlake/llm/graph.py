@@ -30,6 +30,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def apart(df: DataFrame, key: str, *aggregates) -> DataFrame:
+    """df grouped by a LONG key under another form of it, so that a join on the key deals both of its sides anew: Spark
+    can then split a hot key's rows among tasks, which it can't where one side arrives as the groups were dealt."""
+    return df.groupBy(F.bitwise_not(key).alias("gridlake_not")).agg(*aggregates).withColumn(key, F.bitwise_not("gridlake_not")).drop("gridlake_not")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (u, v).
 

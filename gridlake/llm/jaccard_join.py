@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import components, cut, release
+from .graph import apart, components, cut, release
 
 NGRAM = 5
 SMALL = 12
@@ -241,7 +241,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     keys = cut(_keys(docs, ngram, False))
     seen = _keys(docs, ngram, True)
-    shared = seen.groupBy("h").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
+    shared = apart(seen, "h", F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
     back = seen.join(shared, "h", "left_semi").groupBy("key").agg(F.count_distinct("h").alias("met"))
     rows = keys.where("key is not null").groupBy("key", "id", "th").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
     classes = rows.groupBy("key").agg(F.min(F.struct("id", "th", "rows")).alias("first"), F.max("n").alias("n"))
@@ -257,7 +257,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     release(df.sparkSession)
 
     signed = _signed(sets)
-    pivots = signed.groupBy("sig").agg(F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig", "u")
+    pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig", "u")
     grouped = cut(signed.join(pivots, "sig").select("sig", "u", F.col("key").alias("v")))
     release(df.sparkSession)
     links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent))

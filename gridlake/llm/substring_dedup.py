@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import cut, release
+from .graph import apart, cut, release
 
 WINDOW = 35
 _POS = 24
@@ -99,7 +99,7 @@ def _windows(docs: DataFrame, target: int) -> DataFrame:
 def _elsewhere(df: DataFrame, key: str, of: DataFrame | None = None) -> DataFrame:
     """The rows of df whose key occurs twice or more in ``of`` (df unless given)."""
     of = df if of is None else of
-    return df.join(of.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(key), key, "left_semi")
+    return df.join(apart(of, key, F.count("*").alias("times")).where("times > 1").select(key), key, "left_semi")
 
 
 def _cleaned(docs: DataFrame, target: int) -> DataFrame:
