@@ -118,7 +118,7 @@ def q08_monolith_bounds(spark, sf):
 # ---- planning -------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT lo, lo + 500 AS hi FROM (SELECT (m // 500 + i) * 500 AS lo FROM (SELECT max(event_id) - 1500 AS m FROM events), range(0, 9) t(i))
+@query("""SELECT lo, lo + 500 AS hi FROM (SELECT (floor(m / 500.0)::BIGINT + i) * 500 AS lo FROM (SELECT max(event_id) - 1500 AS m FROM events), range(0, 9) t(i))
 WHERE NOT EXISTS (SELECT 1 FROM (SELECT max(event_id) // 1000 * 1000 + 1000 AS b FROM events) WHERE b > lo AND lo + 500 > 0)""")
 def q09_obtain_plan(spark, sf):
     top = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
