@@ -261,7 +261,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = cut(signed.join(pivots, "sig").select("sig", "u", F.col("key").alias("v")))
     release(df.sparkSession)
     links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent))
+    release(df.sparkSession)
     comp = components(links)
+    release(df.sparkSession)
     member = grouped.select("sig", F.col("v").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
     mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -270,7 +272,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.join(sets.select("key", "n", "bits"), "key").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.struct("key", "component", "n", "bits").alias("x"))
     rows = spread.groupBy("sig", "low", "high").agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("x"))).alias("left"), F.collect_list(F.when(F.col("own") != F.col("low"), F.col("x"))).alias("right"))
-    more = cut(_verified(_across(rows.where("size(left) > 0").select("left", "right"), percent), sets, percent))
+    doubtful = cut(_across(rows.where("size(left) > 0").select("left", "right"), percent))
+    release(df.sparkSession)
+    more = cut(_verified(doubtful, sets, percent))
     comp = components(comp.toDF("u", "v").union(more))
 
     smallest = classes.join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("first.id").alias("least"))
