@@ -320,6 +320,22 @@ def made_up(texts: list[str], rng: np.random.Generator) -> str:
     return f"<html><body>{before}{pick('{}', '<div id=page>{}</div>').format(middle)}{after}</body></html>"
 
 
+def marked(source: str) -> tuple[Page, np.ndarray]:
+    """A made-up page, and whether each node holds main text: those that stand in the marked element, and those above."""
+    mark = re.search(r"<[^<>]* data-main>", source)
+    page, top = parse(source), len(parse(source[: mark.start()] + "<div>").tag) - 1  # the node that the mark opens
+    y = np.zeros(len(page.tag))
+    inside = np.zeros(len(page.tag), bool)
+    inside[top] = True
+    for i in range(top + 1, len(page.tag)):
+        inside[i] = inside[page.parent[i]]
+    for v, *_ in page.blocks:
+        y[v] = inside[v]
+    for i in range(len(page.tag) - 1, 0, -1):
+        y[page.parent[i]] = max(y[page.parent[i]], y[i])
+    return page, y
+
+
 def train(sources: list[str]) -> Boosted:
     rng = np.random.default_rng(SEED)
     xs, ys, texts = [], [], []
@@ -332,19 +348,7 @@ def train(sources: list[str]) -> Boosted:
             ys.append(y)
     texts = texts or ["Some words of a plain paragraph, long enough to be one.", "And another one, with a second sentence. Here it is."]
     for _ in range(MADE_UP):
-        source = made_up(texts, rng)
-        marked = re.search(r"<[^<>]* data-main>", source)
-        page = parse(source)
-        top = len(parse(source[: marked.start()] + "<div>").tag) - 1  # the node that the mark opens
-        n = len(page.tag)
-        y = np.zeros(n)
-        for i in range(top, n):
-            y[i] = i == top or y[page.parent[i]]
-        held = {v for v, *_ in page.blocks}
-        for i in range(n - 1, -1, -1):
-            y[i] = y[i] and (i in held or any(y[k] for k in range(i + 1, n) if page.parent[k] == i))
-        for i in range(n - 1, 0, -1):
-            y[page.parent[i]] = max(y[page.parent[i]], y[i])
+        page, y = marked(made_up(texts, rng))
         xs.append(features(page))
         ys.append(y)
     return Boosted.fit(np.concatenate(xs), np.concatenate(ys))
