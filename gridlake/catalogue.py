@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions.grid import Grid, Step, from_micros_col, literal, micros_col, ntz, uuid_ms_col
-from gridlake.operators import changes, convert, fk, migrate, observe, regrain
+from gridlake.functions import text
+from gridlake.functions.grid import Grid, Step, uuid_ms_col
+from gridlake.operators import changes, convert, fk, migrate, observe, regrain, retain
 from gridlake.plans import planner
 from gridlake.plans.registry import Config, ForeignKey, Lake, Manifest, Part
-from gridlake.sources import archive, scan
+from gridlake.sources import archive, generate, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -456,8 +457,7 @@ def q43_missing_children(spark, sf):
 
 @query("SELECT i AS id, i * 2654435761 % 1000000 AS h, (i * 2654435761 % 1000000) % 5 AS tenant, TIMESTAMP '2024-01-01' + to_microseconds(i * 2654435761 % 1000000 * 15552000) AS created_at FROM range(1, 2001) t(i)")
 def q44_generated_messages(spark, sf):
-    h = F.pmod(F.col("id") * F.lit(2654435761), F.lit(1_000_000))
-    return spark.range(1, 2001).select("id", h.alias("h"), (h % 5).alias("tenant"), from_micros_col(h * 15_552_000 + micros_col(ntz(dt.datetime(2024, 1, 1)))).alias("created_at"))
+    return generate.messages(spark, 2000)
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list_sort(list(DISTINCT length(n_name)))::VARCHAR AS sizes FROM nation GROUP BY 1")
@@ -482,4 +482,50 @@ def q48_keyset_page(spark, sf):
     return table(spark, sf, "events").where("event_id % 4 = 0 and event_id > 800").orderBy("event_id").limit(300).select("event_id", "value")
 
 
-__all__ = ["ORACLES", "QUERIES", "literal"]
+@query("SELECT part, lo, hi FROM (SELECT *, lag(hi) OVER (PARTITION BY part ORDER BY lo) AS p FROM (SELECT DISTINCT l_linenumber AS part, l_orderkey // 100 AS lo, l_orderkey // 100 + 1 AS hi FROM lineitem WHERE l_orderkey < 3000 AND l_orderkey // 100 % 7 <> 3)) WHERE p <> lo")
+def q49_ledger_gaps(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_orderkey < 3000 and l_orderkey div 100 % 7 <> 3")
+    lo = Grid("id", 100).floor_col(F.col("l_orderkey"))
+    ledger = li.select(F.col("l_linenumber").alias("child"), (lo / 100).cast("long").alias("lo"), (lo / 100 + 1).cast("long").alias("hi")).distinct()
+    return planner.ledger_gaps(ledger).select(F.col("child").alias("part"), "lo", "hi")
+
+
+@query("SELECT DISTINCT replace(replace(replace(url_encode(p_name || ' ~*/+' || p_type), '+', '%20'), '*', '%2A'), '%7E', '~') AS u, regexp_replace(p_brand, '[^0-9]', '', 'g') AS d FROM part")
+def q50_url_encode(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(text.url_encode(F.concat("p_name", F.lit(" ~*/+"), "p_type")).alias("u"), text.digits_only(F.col("p_brand")).alias("d")).distinct()
+
+
+@query(f"SELECT c.child FROM (SELECT 'copy_' || s_suppkey AS child, s_suppkey * 90 AS lo, s_suppkey * 90 + 700 AS hi FROM supplier) c WHERE EXISTS (SELECT 1 FROM {MIXED_SQL} WHERE c.lo >= p.lo AND c.hi <= p.hi)")
+def q51_contained_copies(spark, sf):
+    copies = table(spark, sf, "supplier").select(F.concat(F.lit("copy_"), "s_suppkey").alias("child"), (F.col("s_suppkey") * 90).alias("lo"), (F.col("s_suppkey") * 90 + 700).alias("hi"), F.lit(False).alias("attached"))
+    parts = planner.parts_frame(spark, MIXED, Grid("id", 1000)).withColumn("attached", F.lit(True))
+    return planner.contained(copies.unionByName(parts)).select("child")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'changed' ELSE event_type END AS event_type FROM events WHERE event_id % 50 <> 1""")
+def q52_split_under_changes(spark, sf):
+    lake, e = events_lake(spark, sf), table(spark, sf, "events")
+    coarse, front = lake.manifest().attached[0].child, e.agg(F.max("event_id")).first()[0] + 5000
+    step = lambda: regrain.regrain_step(lake, coarse, AS_OF, 500, front)
+    while not step().startswith("copied"):
+        pass
+    changes.apply_changes(lake, e.where("event_id % 50 = 0").withColumn("event_type", F.lit("changed")), e.where("event_id % 50 = 1").select("event_id"))
+    while not step().startswith("swapped"):
+        pass
+    return scan.table(lake).select("event_id", "event_type")
+
+
+@query("SELECT event_id // 1000 * 1000 AS lo, count(*) AS n FROM events WHERE event_id // 1000 * 1000 + 1000 > (SELECT (max(event_id) - 4000) // 1000 * 1000 FROM events) GROUP BY 1")
+def q53_archive_and_drop(spark, sf):
+    lake = events_lake(spark, sf, retain=4000)
+    top = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
+    archive.configure(lake, "parquet", f"{lake.root}/archive")  # before the split, which leaves out aged ranges that nothing archives
+    if top > 2000:
+        regrain.regrain(lake, lake.manifest().attached[0].child, AS_OF, front=top + 5000)
+    lake.publish(planner.write_blocks(lake.manifest(), planner.horizon(lake.manifest().config, top, AS_OF)))
+    while archive.archive_step(lake, AS_OF):
+        pass
+    retain.retain(lake, AS_OF, top)
+    lo = Grid("id", 1000).floor_col(F.col("event_id"))
+    return scan.table(lake).groupBy(lo.alias("lo")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,18 @@ def resume_at(m: Manifest, p: Part):
     return max([p.lo, *(e["hi"] for e in m.ledger if e["child"] == p.child)])
 
 
+def contained(parts: DataFrame) -> DataFrame:
+    """Parts that are not attached and lie wholly inside an attached one: leftovers that nothing refers to."""
+    a = parts.where("attached").select(F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    return parts.where("not attached").join(a, (F.col("lo") >= F.col("a_lo")) & (F.col("hi") <= F.col("a_hi")), "left_semi")
+
+
+def ledger_gaps(ledger: DataFrame) -> DataFrame:
+    """Entries (child, lo, hi) that do not begin where the entry before them ends."""
+    before = F.lag("hi").over(Window.partitionBy("child").orderBy("lo"))
+    return ledger.withColumn("before", before).where("before is not null and before <> lo")
+
+
 def write_blocks(m: Manifest, boundary) -> Manifest:
     """Parts past the horizon become read-only; those that a looser policy brings back become writable."""
     return replace(m, parts=tuple(replace(p, read_only=boundary is not None and p.attached and p.hi <= boundary) for p in m.parts))

@@ -86,6 +86,35 @@ def to_parquet(prefix: str, compress: bool = True) -> Callable:
 STRATEGIES: dict[str, Callable] = {"noop": noop}
 
 
+def configure(lake: Lake, kind: str, prefix: str, compress: bool = True) -> Manifest:
+    """Archive the table's expired ranges under prefix from now on; kind is ndjson or parquet."""
+    make = {"ndjson": to_ndjson, "parquet": to_parquet}.get(kind)
+    if make is None:
+        raise Refused(f"no archive format {kind}")
+    m = lake.manifest()
+    name = f"{kind}:{prefix}:{'gzip' if compress else 'none'}"
+    STRATEGIES[name] = make(prefix, compress)
+    return lake.publish(replace(m, config=replace(m.config, archive=name)))
+
+
+def unconfigure(lake: Lake) -> Manifest:
+    """Archive nothing any more."""
+    m = lake.manifest()
+    return lake.publish(replace(m, config=replace(m.config, archive=None)))
+
+
+def strategy_of(name: str) -> Callable:
+    """A registered strategy, or one that its own name describes (another session has configured it)."""
+    if name not in STRATEGIES and name.count(":") >= 2:
+        kind, rest = name.split(":", 1)
+        prefix, codec = rest.rsplit(":", 1)
+        if kind in ("ndjson", "parquet"):
+            STRATEGIES[name] = {"ndjson": to_ndjson, "parquet": to_parquet}[kind](prefix, codec == "gzip")
+    if name not in STRATEGIES:
+        raise Refused(f"no archive strategy {name}")
+    return STRATEGIES[name]
+
+
 def archive_step(lake: Lake, as_of: dt.datetime) -> int:
     """One chunk of every read-only partition that the ledger does not cover yet, oldest first; chunks done.
 
@@ -94,9 +123,7 @@ def archive_step(lake: Lake, as_of: dt.datetime) -> int:
     c = m.config
     if c.archive is None:
         return 0
-    strategy = STRATEGIES.get(c.archive)
-    if strategy is None:
-        raise Refused(f"no archive strategy {c.archive}")
+    strategy = strategy_of(c.archive)
     for p in [p for p in m.attached if p.read_only and not planner.covered(m, p)]:
         chunk = planner.next_chunk(scan.read(lake, m, [p]), c.grid, c.control, planner.resume_at(m, p), p.hi, c.archive_byte_budget, c.archive_probe_sample)
         if chunk is None:
