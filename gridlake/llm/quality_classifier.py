@@ -17,7 +17,9 @@ from . import textkit as tk
 #: Labelled rows, and unlabelled rows, that the model is fitted on at most: those that come first in hash order.
 LABELLED, UNLABELLED = 20_000, 20_000
 THRESHOLD = 0.7
-BINS = 8
+#: Quantiles that part a figure's bins: close together at the ends, where what is odd lies.
+EDGES = (0.01, 0.05, 0.2, 0.5, 0.8, 0.9, 0.95, 0.98, 0.995)
+BINS = len(EDGES)
 SEED = 11
 
 _UPPER, _LETTER, _DIGIT, _MARK, _SYMBOL, _STOP = (np.zeros(256, bool) for _ in range(6))
@@ -67,7 +69,7 @@ class Model:
         self.edges, self.weights, self.curve = edges, weights, curve
 
     def _places(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, c, "right") + j * (BINS + 1) for j, (e, c) in enumerate(zip(self.edges, x.T, strict=True))], axis=1)
+        return np.stack([np.searchsorted(e, c, "left") + j * (BINS + 1) for j, (e, c) in enumerate(zip(self.edges, x.T, strict=True))], axis=1)
 
     def _raw(self, x: np.ndarray) -> np.ndarray:
         return self.weights[self._places(x)].sum(axis=1) + self.weights[-1]
@@ -84,8 +86,7 @@ class Model:
         prior = len(positive) / (len(positive) + len(negative))
         prior = min(max(prior, 0.02), 0.98)
         pool = np.concatenate([positive, unlabelled])
-        spread = np.linspace(0, 1, BINS + 2)[1:-1]
-        model = cls(np.stack([np.quantile(pool[:, j], spread) for j in range(pool.shape[1])]), np.zeros(pool.shape[1] * (BINS + 1) + 1), (1.0, 0.0))
+        model = cls(np.stack([np.quantile(pool[:, j], EDGES) for j in range(pool.shape[1])]), np.zeros(pool.shape[1] * (BINS + 1) + 1), (1.0, 0.0))
         p, u = model._places(positive), model._places(unlabelled)
         m, v, w = np.zeros_like(model.weights), np.zeros_like(model.weights), model.weights
         rng = np.random.default_rng(SEED)
