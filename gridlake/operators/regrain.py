@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlake.functions.grid import Grid
+from gridlake.functions.grid import Grid, literal
 from gridlake.operators.changes import reconcile
 from gridlake.plans import planner
 from gridlake.plans.registry import Lake, Manifest, Part, Refused, replace
@@ -21,7 +21,7 @@ def _grid(m: Manifest, step) -> Grid:
 def tiled(df: DataFrame, control: str, grid: Grid, lo, hi) -> DataFrame:
     """df with the lower bound of its tile of [lo, hi): the cell's, but not under lo."""
     v = grid.native_col(F.col(control))
-    low = planner.literal(lo)
+    low = literal(lo)
     return df.where(grid.within_col(F.col(control), lo, hi)).withColumn("tile", F.greatest(grid.floor_col(v), low))
 
 
@@ -57,7 +57,8 @@ def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=No
         folder = lake.folder()
         rows = tiled(scan.read(lake, m, [p]), m.config.control, grid, lo, hi)
         rows.repartitionByRange(m.config.control).sortWithinPartitions(m.config.control).write.partitionBy("tile").parquet(f"{lake.root}/{folder}")
-        n = lake.spark.read.parquet(f"{lake.root}/{folder}").count() if lake.store.names(folder)[:1] != ["_SUCCESS"] or len(lake.store.names(folder)) > 1 else 0
+        held = any(x.startswith("tile=") for x in lake.store.names(folder))
+        n = lake.spark.read.parquet(f"{lake.root}/{folder}").count() if held else 0
         lake.publish(replace(m, staging=s | {"folder": folder, "rows": n}))
         return f"copied:{n}"
     if m.delta:

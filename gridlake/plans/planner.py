@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlake.functions.grid import Grid, Step, add_months, literal
+from gridlake.functions.grid import Grid, Step, add_months
 
 from .registry import Config, Manifest, Part, Refused
 
@@ -98,12 +98,12 @@ def next_chunk(rows: DataFrame, grid: Grid, control: str, lo, hi, budget: int, s
     count = max(1, int(budget // max(width, 1)))
     last = left.select(c.alias("c")).orderBy("c").limit(count).agg(F.max("c")).first()[0]
     after = left.where(c > F.lit(last)).agg(F.min(c)).first()[0]
-    return lo, hi if after is None else _cut(grid, after)
-
-
-def _cut(grid: Grid, encoded):
-    """A bound at a key value. UUIDs are cut at whole milliseconds: the one after, where rows share one."""
-    return grid.decode(encoded)
+    if after is None:
+        return lo, hi
+    end = grid.decode(after)
+    if grid.kind == "uuidv7" and end <= lo:  # all within one millisecond, which a bound can't divide
+        end = lo + dt.timedelta(milliseconds=1)
+    return lo, min(end, hi)
 
 
 def covered(m: Manifest, p: Part) -> bool:
@@ -177,6 +177,3 @@ def frontier(rows: DataFrame, grid: Grid, control: str, as_of: dt.datetime):
         return as_of
     top = rows.agg(F.max(control)).first()[0]
     return grid.decode(top) if top is not None else grid.anchor if grid.kind == "id" else as_of
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["literal"]

@@ -9,13 +9,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from gridlake.functions.grid import Grid, GridError, Step
+from gridlake.functions.grid import Grid, Step
 
 from .store import Store
 
@@ -196,4 +196,4 @@ class Lake:
         self.store.delete("_manifest")
 
 
-__all__ = ["Config", "Conflict", "ForeignKey", "GridError", "Lake", "Manifest", "Part", "Refused", "asdict", "field", "replace"]
+__all__ = ["Config", "Conflict", "ForeignKey", "Lake", "Manifest", "Part", "Refused", "replace"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -9,10 +11,11 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        top = self._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(name if "/" in name and not hasattr(self, "_fs") else f"{self.root}/{name}")
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
@@ -34,8 +37,6 @@ class Store:
 
     def create(self, name: str, text: str) -> bool:
         """Write a file whole or not at all; False where the name is taken. Two writers of one name: one wins."""
-        import uuid
-
         draft = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         self._fs.mkdirs(self._path(name).getParent())
         out = self._fs.create(draft, False)

@@ -19,7 +19,7 @@ def scatter(c: Column, modulus: int = 1_000_000) -> Column:
 def messages(spark: SparkSession, n: int, months: int = 6, since: dt.datetime = dt.datetime(2024, 1, 1), tenants: int = 5) -> DataFrame:
     """(id, h, tenant, created_at), spread over the months."""
     h = scatter(F.col("id"))
-    at = from_micros_col(h * F.lit(months * MONTH_US // 1_000_000) + F.lit(0) + micros_col(ntz(since)))
+    at = from_micros_col(h * F.lit(months * MONTH_US // 1_000_000) + micros_col(ntz(since)))
     return spark.range(1, n + 1).select("id", h.alias("h"), (h % tenants).alias("tenant"), at.alias("created_at"))
 
 
