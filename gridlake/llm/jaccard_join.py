@@ -24,6 +24,8 @@ NGRAM = 5
 SMALL = 12
 #: Sampled shingles for each set of the first pass: from SAMPLE to twice as many.
 SAMPLE = 48
+#: Buckets a feature of the wider bitmaps, and the size from which a component is compared as a whole.
+WIDE, LARGE = 8, 16
 #: Members of a signature group that one task compares with the rest of the group.
 BLOCK = 2000
 
@@ -123,9 +125,9 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
                 want = b.column(0).slice(lo, hi - lo)
                 keep = np.flatnonzero((set_key(sums, n) == np.asarray(want.fill_null(0))) & (n > 0))
                 items = [h[edge[i] : edge[i + 1]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), pa.array([parity(np.frombuffer(x, np.uint64)) for x in items], pa.binary())], ["key", "n", "items", "bits"])
+                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), *(pa.array([parity(np.frombuffer(x, np.uint64), k) for x in items], pa.binary()) for k in (1, WIDE))], ["key", "n", "items", "bits", "wide"])
 
-    return df.mapInArrow(run, "key long, n long, items binary, bits binary")
+    return df.mapInArrow(run, "key long, n long, items binary, bits binary, wide binary")
 
 
 #: Bits of the filter that thins out texts before they are moved: a fixed size, whatever the input.
@@ -159,10 +161,10 @@ def _signed(sets: DataFrame) -> DataFrame:
     return sets.select("key", "items").mapInArrow(run, "sig long, key long")
 
 
-def parity(h: np.ndarray) -> bytes:
-    """A bit for each of 1 to 2 buckets a feature, set where the bucket holds an odd number of features. The bits in
+def parity(h: np.ndarray, width: int = 1) -> bytes:
+    """A bit for each of ``width`` to twice as many buckets a feature, set where the bucket holds an odd number of features. The bits in
     which two sets differ, in any folding of the buckets, are no more than the features in which they differ."""
-    size = 1 << max(6, int(np.ceil(np.log2(max(len(h), 1)))))
+    size = 1 << max(6, int(np.ceil(np.log2(max(len(h), 1) * width))))
     odd = np.bincount((tk.mix(h ^ tk.U64(0x77)) & tk.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -181,7 +183,7 @@ def _may(n1, n2, differ, percent: int):
     return (differ * (100 + percent) <= (n1 + n2) * (100 - percent)) & (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bitmap: str) -> DataFrame:
     """The pairs (u, v) whose sets are similar: first by their bitmaps, then on the whole sets."""
 
     def sift(batches):
@@ -196,30 +198,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv")
+    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(bitmap).alias(f"b{k}")) for k in "uv")
     near = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(sift, "u long, v long")
     one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
     return near.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _across(groups: DataFrame, percent: int) -> DataFrame:
-    """Of groups (left, right: members (key, component, n, bits)): pairs (u, v) of a left and a right member, or of two
-    left ones where right is empty, in different components, that their bitmaps leave possible."""
+    """Of groups (left, right: members (key, component, size, n, bits)): what a left and a right member, or two left ones
+    where right is empty, in different components leave possible by their bitmaps: (u, v, whole). Two small components
+    give the pair of members; a large one is named as a whole (v) for the other's member u."""
 
     def run(batches):
         for b in batches:
+            pairs, cells = set(), set()
             for left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 both = left + right
-                key, comp, n = (np.array([x[c] for x in both], np.int64) for c in ("key", "component", "n"))
+                key, comp, size, n = (np.array([x[c] for x in both], np.int64) for c in ("key", "component", "size", "n"))
                 bits, m = _folded([x["bits"] for x in both]), len(left)
                 for i in range(m):
-                    o = slice(m, None) if right else slice(i + 1, None)
-                    ok = _may(n[i], n[o], np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64), percent) & (comp[o] != comp[i])
-                    if ok.any():
-                        v = key[o][ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v, key[i])), pa.array(np.maximum(v, key[i]))], ["u", "v"])
-
-    return groups.mapInArrow(run, "u long, v long").distinct()
+                    o = np.arange(m, len(both)) if right else np.arange(i + 1, m)
+                    o = o[comp[o] != comp[i]]
+                    o = o[_may(n[i], n[o], np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64), percent)]
+                    if not len(o):
+                        continue
+                    theirs = (size[o] > size[i]) | (size[o] == size[i]) & (comp[o] > comp[i])
+                    small = np.maximum(size[o], size[i]) < LARGE
+                    cells.update((int(key[i]), int(c)) for c in np.unique(comp[o[theirs & ~small]]))
+                    cells.update((int(key[j]), int(comp[i])) for j in o[~theirs & ~small])
+                    pairs.update((min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j]))) for j in o[small])
+            rows = [(*x, False) for x in pairs] + [(*x, True) for x in cells]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "whole"])
+
+    return groups.mapInArrow(run, "u long, v long, whole boolean").distinct()
+
+
+def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of members u to large components, of cells (u, component): one for each where there is any. Members and
+    components meet in blocks of BLOCK a side, so that a task holds two blocks whatever the component's size."""
+
+    def run(table: pa.Table) -> pa.Table:
+        mine = np.asarray(table.column("member").combine_chunks())
+        key = np.asarray(table.column("key").combine_chunks())
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        members = np.flatnonzero(mine)
+        u, v = [], []
+        if len(members) and len(members) < len(mine):
+            n = np.array([len(items[i]) for i in members])
+            flat, owner = np.concatenate([items[i] for i in members]), np.repeat(np.arange(len(members)), n)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            for i in np.flatnonzero(~mine):
+                x = items[i]
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                size = hi - lo
+                at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)])[:-1], size)
+                both = np.bincount(owner[at], minlength=len(members))
+                ok = np.flatnonzero(100 * both >= percent * (n + len(x) - both))
+                if len(ok):
+                    u.append(key[i])
+                    v.append(key[members[ok[0]]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    asked = cells.groupBy("component").agg(blocks.alias("probes"))
+    held = comp.join(asked, "component", "left_semi").groupBy("component").agg(blocks.alias("blocks"))
+    sides = asked.join(held, "component")
+    own = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    members = comp.withColumnRenamed("node", "key").join(sides, "component").select("component", "key", own("blocks").alias("block"), each("probes").alias("probe"), F.lit(True).alias("member"))
+    probes = cells.withColumnRenamed("u", "key").join(sides, "component").select("component", "key", each("blocks").alias("block"), own("probes").alias("probe"), F.lit(False).alias("member"))
+    rows = members.unionByName(probes).join(sets.select("key", "items"), "key")
+    return rows.select("component", "block", "probe", "member", "key", "items").groupBy("component", "block", "probe").applyInArrow(run, "u long, v long")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
@@ -233,7 +283,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
     others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
     each class of equal sets; (3) PartEnum signatures; every member of a signature group is verified against the
-    group's smallest member; (4) groups that still hold several components are compared across them, in blocks.
+    group's smallest member; (4) groups that still hold several components are compared across them, in blocks, and whoever may belong to
+    a large component is compared with that component's members, in blocks too.
     Class and shingle hashes have 64 bits.
     """
     if percent < 75:
@@ -260,21 +311,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig", "u")
     grouped = cut(signed.join(pivots, "sig").select("sig", "u", F.col("key").alias("v")))
     release(df.sparkSession)
-    links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent))
+    links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent, "bits"))
     release(df.sparkSession)
     comp = components(links)
     release(df.sparkSession)
-    member = grouped.select("sig", F.col("v").alias("key")).join(comp.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+    placed = comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
+    member = grouped.select("sig", F.col("v").alias("key")).join(placed, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
     mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # each block of a group meets itself and every other block: (b, b) and (low, high)
     spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.join(sets.select("key", "n", "bits"), "key").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.struct("key", "component", "n", "bits").alias("x"))
+    spread = spread.join(sets.select("key", "n", "bits"), "key").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.struct("key", "component", "size", "n", "bits").alias("x"))
     rows = spread.groupBy("sig", "low", "high").agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("x"))).alias("left"), F.collect_list(F.when(F.col("own") != F.col("low"), F.col("x"))).alias("right"))
     doubtful = cut(_across(rows.where("size(left) > 0").select("left", "right"), percent))
     release(df.sparkSession)
-    more = cut(_verified(doubtful, sets, percent))
+    cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
+    more = cut(_verified(doubtful.where("not whole").select("u", "v"), sets, percent, "wide").union(_against_large(cells, comp, sets, percent)))
+    release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
 
     smallest = classes.join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("first.id").alias("least"))

@@ -150,6 +150,22 @@ def test_jaccard_groups_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_components(brute_sets(texts))
 
 
+def test_jaccard_large_components(spark, monkeypatch):
+    """A large group of copies around the threshold, some linked only through few others."""
+    monkeypatch.setattr(jaccard_join, "LARGE", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    rng = random.Random(14)
+    base, texts = prose(rng, 120).split(), []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, texts)).collect()}
+    want = brute_components(brute_sets(texts))
+    assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in [*range(1, 60), 100, 300, 1000]:
