@@ -1,10 +1,9 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact pieces of items as seeds, word counts around them, exact edit verification.
 
-The CGK walk reads a window word by word and repeats a word where that word's own random bit says so, so that two
-windows a few edits apart give strings a small Hamming distance apart. Each table samples a few positions of the walk;
-documents are read at every STRIDE-th word and items from each of their first STRIDE words, so an unedited copy meets
-its item in every table. What meets is verified by the edit distance between the item's words and the best
-part of the document around it.
+An item that may have k edits is cut into k + 1 pieces. Whatever k edits there are, wherever they fall, one piece at
+least is left word for word, so every occurrence is met by looking up each run of as many words of a document among the
+pieces: nothing inside the allowed distance is missed. What meets has to share enough words with the document around
+it, and is then verified by the edit distance between the item's words and the best part of that region.
 """
 
 from __future__ import annotations
@@ -19,15 +18,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
 
-STRIDE = 4
-TABLES = 10
-SAMPLES = 5
 #: Largest edit distance, as a share of the item's words.
 EDITS = 0.25
 #: Items of fewer words have to occur word for word.
 SHORT = 8
 #: Bytes of items that go to the workers at once; a larger benchmark is searched for in blocks of about that size.
 BLOCK_BYTES = 4_000_000
+#: Meetings, and words of regions, that are looked at at once.
+AT_ONCE = 1 << 20
+#: Bits of the hash that a first look goes by.
+_BITS = 20
 
 #: Case, punctuation and symbols play no part in a comparison.
 _PLAIN = tk.LOWER.copy()
@@ -43,74 +43,71 @@ def _words(column) -> list[np.ndarray]:
     return out
 
 
-def _tables(least: int, seed: int) -> np.ndarray:
-    """The sampled steps of each table for items of ``least`` words or more, in order."""
-    rng = np.random.default_rng([seed, least])
-    span = max(SAMPLES, int(1.5 * (least - STRIDE)))
-    return np.sort(np.array([rng.choice(span, SAMPLES, replace=False) for _ in range(TABLES)]), axis=1)
-
-
-def walk(words: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    """The CGK strings, one column a start; words ends each text with a 0, where a walk stays."""
-    out, at = np.empty((steps, len(starts)), np.uint64), starts.copy()
-    coin = tk.mix(words ^ tk.U64(0xC61C61)) * (words != 0)
-    for t in range(steps):
-        out[t] = words[at]
-        at += ((coin[at] >> tk.U64(t % 64)) & tk.U64(1)).astype(np.int64)
-    return out
-
-
-def _keys(strings: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """A row for each table."""
-    out = np.zeros((len(tables), strings.shape[1]), np.uint64)
-    for r, steps in enumerate(tables):
-        for s in steps:
-            out[r] = tk.mix(out[r] ^ strings[s]) + tk.U64(r + 1)
-    return out
+def pieces(size: int, most: int) -> np.ndarray:
+    """Where the most + 1 pieces of an item of size words begin, and its end; most is less than size."""
+    return np.arange(most + 2) * size // (most + 1)
 
 
 def edits(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     """The least edit distance between item and any part of region, and where such a part ends."""
-    column = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
+    least, end = edits_each(item, region[None, :])
+    return int(least[0]), int(end[0])
+
+
+def edits_each(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """edits() for each row of regions."""
+    column = np.arange(regions.shape[1] + 1)
+    row = np.zeros((len(regions), regions.shape[1] + 1), np.int64)
     for i, w in enumerate(item):
         new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (region != w))
-        row = np.minimum.accumulate(new - column) + column
-    end = int(np.argmin(row))
-    return int(row[end]), end
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (regions != w))
+        row = np.minimum.accumulate(new - column, axis=1) + column
+    end = np.argmin(row, axis=1)
+    return row[np.arange(len(row)), end], end
 
 
 class Index:
-    """Items by size band, each with its tables and sorted keys."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]], seed: int = 7):
-        self.items = items
-        self.bands = []
-        size = np.array([len(w) for _, w in items])
-        low = SHORT
-        while len(items) and low <= size.max(initial=0):
-            own = np.flatnonzero((size >= low) & (size < low * 3 // 2))
-            if len(own):
-                tables = _tables(low, seed)
-                words = np.concatenate([np.append(items[i][1], tk.U64(0)) for i in own])
-                base = np.concatenate([[0], np.cumsum(size[own] + 1)])[:-1]
-                starts = (base[:, None] + np.arange(STRIDE)).ravel()
-                strings = walk(words, starts, int(tables.max()) + 1)
-                keys = _keys(strings, tables)
-                inside = np.array([(strings[s] != 0).all(axis=0) for s in tables])
-                item, shift = np.repeat(own, STRIDE), np.tile(np.arange(STRIDE), len(own))
-                flat = [x[inside] for x in (keys, np.broadcast_to(item, keys.shape), np.broadcast_to(shift, keys.shape))]
-                order = np.argsort(flat[0], kind="stable")
-                self.bands.append((tables, *(x[order] for x in flat)))
-            low = low * 3 // 2
-        self.short = {}
-        for i in np.flatnonzero((size > 0) & (size < SHORT)):
-            w = items[i][1]
-            self.short.setdefault(len(w), {}).setdefault(int(tk.span_hash(tk.prefix(w, tk._STEP), np.array([0]), np.array([len(w)]), tk._STEP)[0]), []).append(int(i))
+    """Items of SHORT words or more by their pieces, sorted by hash for each length of a piece; the others whole."""
 
-    def search(self, t: tk.Texts, share: float) -> list[tuple[int, int, int, int]]:
+    def __init__(self, items: list[tuple[object, np.ndarray]], share: float = EDITS):
+        self.items, self.share = items, share
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        self.short = {}
+        for i, (_, w) in enumerate(items):
+            if len(w) >= SHORT:
+                cuts, pre = pieces(len(w), int(share * len(w))), tk.prefix(w, tk._STEP)
+                for a, b, key in zip(cuts[:-1].tolist(), cuts[1:].tolist(), tk.span_hash(pre, cuts[:-1], cuts[1:], tk._STEP).tolist(), strict=True):
+                    by_size.setdefault(b - a, []).append((key, i, a))
+            elif len(w):
+                self.short.setdefault(len(w), {}).setdefault(int(tk.span_hash(tk.prefix(w, tk._STEP), np.array([0]), np.array([len(w)]), tk._STEP)[0]), []).append(int(i))
+        self.seeds = []
+        for n, rows in sorted(by_size.items()):
+            keys = np.array([k for k, _, _ in rows], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(1 << _BITS, bool)
+            seen[(keys >> tk.U64(64 - _BITS)).astype(np.int64)] = True
+            self.seeds.append((n, seen, keys[order], *(np.array([r[c] for r in rows], np.int64)[order] for c in (1, 2))))
+
+    def _meetings(self, h: np.ndarray, first: np.ndarray):
+        """(item, text, word among all words where the item would begin), about AT_ONCE at a time, some of them repeated."""
+        for n, seen, keys, item, offset in self.seeds:
+            at, text, key = tk.window_hashes(h, first, n)
+            look = np.flatnonzero(seen[(key >> tk.U64(64 - _BITS)).astype(np.int64)])
+            at, text, key = at[look], text[look], key[look]
+            lo = np.searchsorted(keys, key)
+            many = np.searchsorted(keys, key, "right") - lo
+            total = np.cumsum(many)
+            a = 0
+            while a < len(many):
+                b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + AT_ONCE, "right")))
+                own = np.repeat(np.arange(a, b), many[a:b])
+                k = np.arange(len(own)) - np.repeat(np.cumsum(many[a:b]) - many[a:b], many[a:b]) + lo[own]
+                if len(own):
+                    yield item[k], text[own], at[own] - offset[k]
+                a = b
+
+    def search(self, t: tk.Texts) -> list[tuple[int, int, int, int]]:
         """(text, item, first word about, edits) of every item found, once for each text and item."""
         t = tk.Texts(_PLAIN[t.data], t.off)
         h, first = t.word_hashes(), t.words[2]
@@ -121,37 +118,43 @@ class Index:
             for a, x, k in zip(at[hit].tolist(), text[hit].tolist(), key[hit].tolist(), strict=True):
                 for i in exact[k]:
                     found.setdefault((x, i), (0, a - int(first[x])))
-        if not self.bands or not len(h):
-            return [(x, i, a, e) for (x, i), (e, a) in found.items()]
-        count = np.diff(first)
-        padded = np.zeros(len(h) + t.n, np.uint64)
-        own = np.repeat(np.arange(t.n), count)
-        padded[np.arange(len(h)) + own] = h
-        places = -(-count // STRIDE)
-        text = np.repeat(np.arange(t.n), places)
-        word = (np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(places)])[:-1], places)) * STRIDE
-        strings = walk(padded, first[text] + text + word, max(int(b[0].max()) for b in self.bands) + 1)
-        asked = set()
-        for tables, keys, item, shift in self.bands:
-            for row in _keys(strings, tables):
-                lo = np.searchsorted(keys, row)
-                for j in np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == row):
-                    for k in range(lo[j], np.searchsorted(keys, row[j], "right")):
-                        asked.add((int(text[j]), int(item[k]), int(word[j] - shift[k])))
-        for x, i, a in asked:
-            w = self.items[i][1]
-            most = int(share * len(w))
-            lo = max(0, a - most - STRIDE)
-            region = h[first[x] + lo : min(first[x] + a + len(w) + most + STRIDE, first[x + 1])]
-            if np.isin(w, region).sum() < len(w) - most:
-                continue
-            e, end = edits(w, region)
-            if e <= most and (e, lo + max(end - len(w), 0)) < found.get((x, i), (most + 1, 0)):
-                found[x, i] = (e, lo + max(end - len(w), 0))
+        for item, text, at in self._meetings(h, first):
+            order = np.lexsort((at, text, item))
+            item, text, at = item[order], text[order], at[order]
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (at[1:] != at[:-1])
+            item, text, at = item[new], text[new], at[new]
+            edge = np.append(np.flatnonzero(np.append(True, item[1:] != item[:-1])), len(item))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                i = int(item[a])
+                rows = max(1, AT_ONCE // (2 * len(self.items[i][1])))
+                for lo in range(a, b, rows):
+                    own = slice(lo, min(lo + rows, b))
+                    self._verify(i, text[own], at[own], h, first, found)
         return [(x, i, a, e) for (x, i), (e, a) in found.items()]
 
-
-def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES):
+    def _verify(self, i: int, text: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray, found: dict) -> None:
+        """Put item i into found for those of its meetings that are within the distance."""
+        w = self.items[i][1]
+        most = int(self.share * len(w))
+        place = at[:, None] + np.arange(-most, len(w) + most)
+        there = (place >= first[text][:, None]) & (place < first[text + 1][:, None])
+        regions = h[np.clip(place, 0, len(h) - 1)]
+        words = np.unique(w)
+        near = np.minimum(np.searchsorted(words, regions), len(words) - 1)
+        enough = np.flatnonzero(((words[near] == regions) & there).sum(axis=1) >= len(w) - most)
+        if not len(enough):
+            return
+        # 0 stands beyond the ends of the text; such columns cost an edit each and never make a part better
+        regions = np.where(there, regions, tk.U64(0))[enough]
+        least, end = edits_each(w, regions)
+        for k in np.flatnonzero(least <= most).tolist():
+            x = int(text[enough[k]])
+            begin = max(int(at[enough[k]]) - most + max(int(end[k]) - len(w), 0) - int(first[x]), 0)
+            found[x, i] = min(found.get((x, i), (most + 1, 0)), (int(least[k]), begin))
+
+
+def indexes(items: DataFrame, id_col: str, text_col: str, share: float, block_bytes: int = BLOCK_BYTES):
     """Index after Index, each of about block_bytes of items; together they hold every item."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = max(1, ceil(size / block_bytes))
@@ -159,7 +162,7 @@ def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int = BLO
     for k in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         table = part.toArrow()
-        yield Index(list(zip(table.column("id").to_pylist(), _words(table.column("text")), strict=True)))
+        yield Index(list(zip(table.column("id").to_pylist(), _words(table.column("text")), strict=True)), share)
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDITS) -> DataFrame:
@@ -167,19 +170,20 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     without punctuation), edits, item_words.
 
     An item is found where the edit distance in words between it and some part of the text is at most ``share`` of its
-    words; case, punctuation and white space do not count. Null or empty texts hold nothing, items without a word
+    words, below 1; items under SHORT words have to occur word for word. None is missed, wherever the edits are. Case,
+    punctuation and white space do not count. Null or empty texts hold nothing, items without a word
     are never found, repeated rows and items give a row each, null ids are passed on, and no rows or no items
     give no rows. Other columns are not read. The rows of df are not moved.
     """
     doc, item = df.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     kind = to_arrow_type(items.schema[item_id].dataType)
     docs, out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
-    for index in indexes(items, item_id, item_text):
+    for index in indexes(items, item_id, item_text, share):
 
         def run(batches, index=index):
             for b in batches:
                 for lo, _, t in tk.texts_of(b.column(1)):
-                    hits = sorted(index.search(t, share))
+                    hits = sorted(index.search(t))
                     ids = b.column(0).take(pa.array([lo + x for x, *_ in hits], pa.int64()))
                     cols = [ids, pa.array([index.items[i][0] for _, i, _, _ in hits], kind), *(pa.array(x, pa.int64()) for x in ([h[2] for h in hits], [h[3] for h in hits], [len(index.items[h[1]][1]) for h in hits]))]
                     yield pa.RecordBatch.from_arrays(cols, ["id", "item", "word", "edits", "item_words"])
@@ -192,13 +196,13 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDITS) -> DataFrame:
     """df, with all its columns, without the rows that hold an item; see contaminated()."""
     out, at = df, df.columns.index(text_col)
-    for index in indexes(items, item_id, item_text):
+    for index in indexes(items, item_id, item_text, share):
 
         def run(batches, index=index):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for lo, _, t in tk.texts_of(b.column(at)):
-                    hit = [lo + x for x, *_ in index.search(t, share)]
+                    hit = [lo + x for x, *_ in index.search(t)]
                     keep[hit] = False
                 yield b.filter(pa.array(keep))
 

@@ -306,6 +306,27 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, table).collect()} == {(i, i) for i in range(9)}
 
 
+def test_decontamination_misses_nothing_within_the_distance():
+    """Edits of all kinds up to the whole allowance, at the head, at the end and anywhere, against every part of the text."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(n) for n in (8, 9, 11, 12, 15, 16, 20, 24, 33, 60) for _ in range(6)]
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        w, most = list(item), len(item) // 4
+        places = (range(most), range(len(w) - most, len(w)), rng.sample(range(len(w)), most))[i % 3]
+        for p in sorted(places, reverse=True):
+            w[p : p + 1] = ([], ["edited"], ["put", w[p]])[i // 3 % 3]
+        texts.append(" ".join(some(rng.randint(0, 40)) + w + some(rng.randint(0, 40))))
+        want.add((i, i))
+    hashes = lambda rows: decontamination._words(pa.array(rows))
+    index = decontamination.Index(list(enumerate(hashes([" ".join(x) for x in items]))))
+    got = {(x, i): e for _, _, t in tk.texts_of(pa.array(texts)) for x, i, _, e in index.search(t)}
+    brute = {(x, i): decontamination.edits(w, h)[0] for x, h in enumerate(hashes(texts)) for i, w in index.items}
+    assert want <= set(got) and got == {k: e for k, e in brute.items() if e <= len(items[k[1]]) // 4}
+
+
 def test_edit_distance():
     def brute(a, b):
         best = len(a)
