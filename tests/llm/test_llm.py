@@ -423,6 +423,36 @@ def test_toxicity_restores_disguises(spark):
     assert sum(out[plain + k]["predicted"] for k in range(5)) >= 4 and out[plain + 5]["predicted"] == 0
 
 
+def toxic_predictions(spark, added):
+    """What is predicted for texts of clean words with these pieces in their middle."""
+    rng = random.Random(10)
+    vocabulary, bad = [prose(rng, 1, 1) for _ in range(500)], ["stupid", "idiot", "scum", "worthless"]
+    rows, labels = [], []
+    for i in range(700):
+        w, toxic = [rng.choice(vocabulary) for _ in range(rng.randint(20, 80))], rng.random() < 0.15
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append(" ".join(w))
+        labels.append((i, 1, int(toxic)))
+    clean = [rng.choice(vocabulary) for _ in range(12)]
+    rows += [f"{' '.join(clean[:6])} {piece} {' '.join(clean[6:])}" for piece in (f(clean) for f in added)]
+    out = {r["doc_id"]: r["predicted"] for r in toxicity.classify(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+    return [out[700 + k] for k in range(len(added))]
+
+
+def test_toxicity_of_long_disguises(spark):
+    """Letters set apart over a whole sentence, after another word, with wide spaces; words stretched without end."""
+    apart = lambda *words: " ".join(" ".join(w) for w in words)
+    added = [
+        lambda w: apart(*w[:6], "stupid", "idiot", *w[6:], "scum"),
+        lambda w: apart(w[0], "stupid", "idiot"),
+        lambda w: "   ".join(" ".join(x) for x in (w[1], "scum", "stupid", w[2])),
+        lambda w: "st" + "u" * 100 + "pid idio" + "o" * 5000 + "t",
+        lambda w: apart(*w),
+    ]
+    assert toxic_predictions(spark, added) == [1, 1, 1, 1, 0]
+
+
 def test_extraction_of_made_up_pages():
     rng = np.random.default_rng(99)
     texts = [f"Sentence {i} of some length, with a comma and an end. And another one follows it, number {i * 7}." for i in range(60)]
