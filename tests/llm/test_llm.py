@@ -453,6 +453,29 @@ def test_toxicity_of_long_disguises(spark):
     assert toxic_predictions(spark, added) == [1, 1, 1, 1, 0]
 
 
+def test_toxicity_of_slight_disguises(spark):
+    """A sign at an end, signs side by side, one letter doubled, in either case; and signs around plain words."""
+    added = [
+        lambda w: "idio7 $tupi|) iDiot!",
+        lambda w: "stuupid",
+        lambda w: "iddiot",
+        lambda w: "idIiot",
+        lambda w: "5cu|\\/| worthle$$",
+        lambda w: "(stup1d!) (5cum)",
+        lambda w: f"{w[0]}! ({w[1]}) {w[2]}7 {w[3]}$ {w[4]}{w[4][-1]}",
+    ]
+    assert toxic_predictions(spark, added) == [1, 1, 1, 1, 1, 1, 0]
+
+
+def test_signs_at_ends_are_decoded():
+    rows = {"idio7": "idiot", "a$$": "ass", "stuupid": "stupid", "iddiot": "idiot", "(unning!": "cunning"}
+    speller = toxicity.Speller(np.zeros(28**3), {"a": 900, "as": 900, "ass": 5, "idiot": 5, "stupid": 5, "cunning": 5})
+    for _, _, t in tk.texts_of(pa.array([f"so {x} is" for x in rows])):
+        tokens, text, which = toxicity.disguised(t)
+        got = {(i, w) for i, k in zip(text.tolist(), which.tolist(), strict=True) for w in (speller.restore(tokens[k]), speller.restore(tokens[k], True))}
+    assert set(enumerate(rows.values())) <= got
+
+
 def test_extraction_of_made_up_pages():
     rng = np.random.default_rng(99)
     texts = [f"Sentence {i} of some length, with a comma and an end. And another one follows it, number {i * 7}." for i in range(60)]
