@@ -528,6 +528,13 @@ def test_language_model_prefers_its_corpus(spark):
     assert abs(rows[0]["log_prob"] / rows[0]["n_words"] - mean[0]) < 1e-9
 
 
+def test_language_model_learns_from_every_word():
+    first = np.array([0, 1, 1, 4, 30])
+    for rounds in (1, lm_scoring.ROUNDS, 5):
+        masked = [lm_scoring.targets(first, r, rounds) for r in range(rounds)]
+        assert set(np.concatenate(masked).tolist()) == set(range(30))
+
+
 def test_language_model_gradient():
     rng = np.random.default_rng(1)
     net = {k: v.astype(np.float64) for k, v in lm_scoring.start().items()}
