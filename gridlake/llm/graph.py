@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path and read back. Unlike a checkpoint, which carries on the product of the sizes of all that was joined
+    before it, the table has the size of its files: for results that go from one round of joins to the next."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so after a collection of the
     driver's garbage, which may otherwise be half an hour away."""
@@ -42,15 +55,18 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Edges may repeat, point either way or lead back to their own node; no edges give no rows. Each round moves
     every edge once or twice; the number of rounds grows with the logarithm of the longest path.
     """
-    stars = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+    stars = table(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/0")
     state = None
-    for _ in range(rounds):
+    for r in range(rounds):
         both = stars.union(stars.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = apart(both, "u", F.min("v").alias("least")).select("u", F.least("least", "u").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = apart(large, "u", F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        stars = cut(small.where("u != v").distinct())
+        stars = table(small.where("u != v").distinct(), f"{folder}/{r + 1}")
+        discard(spark, f"{folder}/{r}")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -1,9 +1,10 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Two sets of sizes a and b whose Jaccard similarity reaches 3/4 differ in at most (a + b) / 7 features. Sets of
-similar size share a size band; the band cuts the feature domain into partitions by hash, and each set enumerates
-the first h + 1 of them that hold any of its features, h being the largest difference it may have with a partner in
-its band. Two similar sets then agree in at least one enumerated partition, whose content is the signature.
+similar size share a size band; the band cuts the feature domain into partitions by hash, and each partition into SECOND
+smaller ones. Of two sets that differ in h features, one of any h / 2 + 1 partitions differs in at most one of its smaller
+ones, so that the content of the other SECOND - 1 is the same: each set enumerates, partition by partition, all
+subsets of SECOND - 1 smaller ones, and their content is the signature.
 Sets that cannot fill so many partitions, and sets under SMALL features, enumerate single features instead: the
 first floor(a / 4) + 1 in hash order, of which two similar sets share one.
 
@@ -21,13 +22,19 @@ from . import textkit as tk
 from .graph import apart, components, cut, release
 
 NGRAM = 5
-SMALL = 12
+SMALL, SECOND = 12, 3
 #: Sampled shingles for each set of the first pass: from SAMPLE to twice as many.
 SAMPLE = 48
-#: Buckets a feature of the wider bitmaps, and the size from which a component is compared as a whole.
-WIDE, LARGE = 8, 16
-#: Members of a signature group that one task compares with the rest of the group.
-BLOCK = 2000
+#: Buckets a feature of a bitmap, and its bytes at most.
+WIDE, BITMAP_BYTES = 8, 4096
+#: Size from which a component is compared as a whole.
+LARGE = 16
+#: Members of a group, and features of their sets, that one task compares with the rest of the group.
+BLOCK, BLOCK_FEATURES = 2000, 2_000_000
+#: Rounds in which a member is compared with one other of its groups before whole groups are compared.
+PIVOTS = 1
+#: Words of bitmaps that are compared at once.
+AT_ONCE = 1 << 21
 
 
 def shingle_sets(t: tk.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,24 +69,35 @@ def sampled(n: np.ndarray) -> np.ndarray:
     return np.maximum(np.floor(np.log2(np.maximum(n, 1) / SAMPLE)), 0).astype(np.int64)
 
 
+def _interval(h: np.ndarray, j: int, most: int) -> tuple[np.ndarray, bool]:
+    """Signatures of a set in the interval of two size bands j and j + 1, and whether it fills as many partitions as they need."""
+    need = most // 2 + 1
+    parts = int(np.ceil(1.2 * (SMALL * (4 / 3) ** j * 2 / 9 + 1))) + 2
+    x = tk.mix(h ^ tk.U64(j + 1))
+    cell = (x % tk.U64(parts)).astype(np.int64) * SECOND + ((x >> tk.U64(40)) % tk.U64(SECOND)).astype(np.int64)
+    total = np.zeros(parts * SECOND, np.uint64)
+    np.add.at(total, cell, tk.mix(h))
+    total, held = total.reshape(parts, SECOND), np.bincount(cell, minlength=parts * SECOND).reshape(parts, SECOND) > 0
+    filled = np.cumsum(held.sum(axis=1) > 1)
+    last = int(np.searchsorted(filled, need)) + 1  # all partitions up to the one that makes them enough
+    content = (total.sum(axis=1, dtype=np.uint64)[:, None] - total)[:last]
+    name = (np.arange(parts * SECOND).reshape(parts, SECOND) + (j + 1 << 32)).astype(np.uint64)[:last]
+    some = (held.sum(axis=1)[:, None] - held)[:last] > 0
+    return tk.mix(content[some] ^ tk.mix(name[some])), filled[-1] >= need
+
+
 def signatures(h: np.ndarray) -> np.ndarray:
-    """The signatures of one set, its features sorted."""
-    n, out, full = len(h), [], len(h) < SMALL * 4 // 3
+    """The signatures of one set. Its partners have sizes of its own band of a third or the next one up, met in one interval, or of
+    the band below, met in the interval below."""
+    n, out, first = len(h), [], len(h) < SMALL * 4 // 3
     if n >= SMALL:
-        for band in {int(np.log2(n / SMALL)), int(np.log2(n / SMALL)) - 1}:
-            low, high = SMALL << max(band, 0), (SMALL << max(band, 0)) * 8 // 3
-            if band < 0 or not low <= n <= high:
-                continue
-            most = (n + min(high, n * 4 // 3)) // 7
-            parts = 2 * high // 7 * 5 // 4 + 4
-            part = (tk.mix(h ^ tk.U64(band + 1)) % tk.U64(parts)).astype(np.int64)
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, tk.mix(h))
-            held = np.flatnonzero(np.bincount(part, minlength=parts))
-            full |= len(held) <= most
-            held = held[: most + 1]
-            out.append(tk.mix(total[held] ^ tk.mix((held + (band + 1 << 32)).astype(np.uint64))))
-    if full:
+        j = int(np.log(n / SMALL) / np.log(4 / 3) + 1e-9)
+        sign, filled = _interval(h, j, (n + n * 4 // 3) // 7)
+        out, first = [sign], first | (not filled)
+        if j:
+            sign, filled = _interval(h, j - 1, (n + int(np.ceil(SMALL * (4 / 3) ** j))) // 7)
+            out, first = [*out, sign], first | (not filled)
+    if first:
         out.append(tk.mix(np.sort(tk.mix(h))[: n // 4 + 1] ^ tk.U64(0x5555)))
     return np.concatenate(out)
 
@@ -125,9 +143,9 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
                 want = b.column(0).slice(lo, hi - lo)
                 keep = np.flatnonzero((set_key(sums, n) == np.asarray(want.fill_null(0))) & (n > 0))
                 items = [h[edge[i] : edge[i + 1]].tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), *(pa.array([parity(np.frombuffer(x, np.uint64), k) for x in items], pa.binary()) for k in (1, WIDE))], ["key", "n", "items", "bits", "wide"])
+                yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), pa.array([parity(np.frombuffer(x, np.uint64)) for x in items], pa.binary())], ["key", "n", "items", "bits"])
 
-    return df.mapInArrow(run, "key long, n long, items binary, bits binary, wide binary")
+    return df.mapInArrow(run, "key long, n long, items binary, bits binary")
 
 
 #: Bits of the filter that thins out texts before they are moved: a fixed size, whatever the input.
@@ -152,30 +170,32 @@ def _thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _signed(sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            keys, items = np.asarray(b.column(0)), b.column(1).to_pylist()
-            signs = [signatures(np.frombuffer(x, np.uint64)) for x in items]
-            for i in range(0, len(signs), 256):
-                s = signs[i : i + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.repeat(keys[i : i + 256], [len(x) for x in s]))], ["sig", "key"])
+            keys = np.asarray(b.column(0))
+            for i in range(0, len(keys), 256):
+                sign = [signatures(_set(x)) for x in b.column(1).slice(i, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sign).view(np.int64)), pa.array(np.repeat(keys[i : i + 256], [len(x) for x in sign]))], ["sig", "key"])
 
     return sets.select("key", "items").mapInArrow(run, "sig long, key long")
 
 
-def parity(h: np.ndarray, width: int = 1) -> bytes:
-    """A bit for each of ``width`` to twice as many buckets a feature, set where the bucket holds an odd number of features. The bits in
-    which two sets differ, in any folding of the buckets, are no more than the features in which they differ."""
-    size = 1 << max(6, int(np.ceil(np.log2(max(len(h), 1) * width))))
+def _set(x: pa.Scalar) -> np.ndarray:
+    """The features in a binary value, not copied."""
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def parity(h: np.ndarray) -> bytes:
+    """A bit for each of WIDE to twice as many buckets a feature, up to BITMAP_BYTES, set where the bucket holds an odd number of features.
+    The bits in which two sets differ, in any folding of the buckets, are no more than the features in which they differ."""
+    size = 1 << min(max(6, int(np.ceil(np.log2(max(len(h), 1) * WIDE)))), (BITMAP_BYTES * 8).bit_length() - 1)
     odd = np.bincount((tk.mix(h ^ tk.U64(0x77)) & tk.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _folded(bits: list[bytes]) -> np.ndarray:
+def _folded(bits: list) -> np.ndarray:
     """The bitmaps as rows of words, each folded to the size of the smallest."""
-    least = min(map(len, bits))
-    out = np.empty((len(bits), least // 8), np.uint64)
-    for i, x in enumerate(bits):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0)
-    return out
+    words = [np.frombuffer(x, np.uint64) for x in bits]
+    least = min(map(len, words))
+    return np.array([np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in words])
 
 
 def _may(n1, n2, differ, percent: int):
@@ -183,54 +203,108 @@ def _may(n1, n2, differ, percent: int):
     return (differ * (100 + percent) <= (n1 + n2) * (100 - percent)) & (np.minimum(n1, n2) * 100 >= percent * np.maximum(n1, n2))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, bitmap: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar: first by their bitmaps, then on the whole sets."""
 
     def sift(batches):
         for b in batches:
-            n1, n2, one, two = np.asarray(b.column(2)), np.asarray(b.column(3)), b.column(4).to_pylist(), b.column(5).to_pylist()
-            differ = np.array([int(np.bitwise_count(f[0] ^ f[1]).sum()) for f in (_folded([x, y]) for x, y in zip(one, two, strict=True))], np.int64)
+            n1, n2 = np.asarray(b.column(2)), np.asarray(b.column(3))
+            differ = np.array([int(np.bitwise_count(f[0] ^ f[1]).sum()) for f in (_folded([x.as_buffer(), y.as_buffer()]) for x, y in zip(b.column(4), b.column(5), strict=True))], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(_may(n1, n2, differ, percent), pa.bool_()))
 
     def run(batches):
         for b in batches:
-            left, right = b.column(2).to_pylist(), b.column(3).to_pylist()
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(left, right, strict=True)]
+            ok = [similar(_set(x), _set(y), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col(bitmap).alias(f"b{k}")) for k in "uv")
+    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv")
     near = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(sift, "u long, v long")
     one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
     return near.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _across(groups: DataFrame, percent: int) -> DataFrame:
-    """Of groups (left, right: members (key, component, size, n, bits)): what a left and a right member, or two left ones
-    where right is empty, in different components leave possible by their bitmaps: (u, v, whole). Two small components
-    give the pair of members; a large one is named as a whole (v) for the other's member u."""
+def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, member) of all members of the ranges [lo, hi)."""
+    many = hi - lo
+    place = np.repeat(np.arange(len(lo)), many)
+    return place, np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + lo[place]
+
+
+def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> set[tuple[int, int, bool]]:
+    """What members in different components leave possible by their bitmaps; see _across(). Groups stand one after the other, the
+    left members of each before its right ones."""
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    stop = np.append(edge[1:], len(group))
+    words = np.array([len(x) for x in bits])
+    least = np.minimum.reduceat(words, edge)
+    lefts = np.add.reduceat(~right, edge)
+    out: set[tuple[int, int, bool]] = set()
+    for w in np.unique(least).tolist():
+        own = np.flatnonzero(least == w)
+        at, row = _ragged(edge[own], stop[own])
+        m = np.empty((len(row), w), np.uint64)  # the bitmaps of these groups, all folded alike
+        for k, i in enumerate(row.tolist()):
+            m[k] = bits[i] if len(bits[i]) == w else np.bitwise_xor.reduce(bits[i].reshape(-1, w), axis=0)
+        begin = np.cumsum(np.append(0, stop[own] - edge[own]))
+        inside = np.arange(len(row)) - begin[at]
+        alone = lefts[own][at] == (stop[own] - edge[own])[at]  # no right side: all pairs of the left one
+        mine = np.flatnonzero(inside < lefts[own][at])
+        lo = np.where(alone, np.arange(len(row)) + 1, begin[at] + lefts[own][at])[mine]
+        hi = begin[at + 1][mine]
+        done = np.cumsum((hi - lo) * w)
+        a = 0
+        while a < len(mine):
+            b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + AT_ONCE, "right")))
+            place, j = _ragged(lo[a:b], hi[a:b])
+            i = mine[a:b][place]
+            a = b
+            x, y = row[i], row[j]
+            look = comp[x] != comp[y]
+            i, j, x, y = i[look], j[look], x[look], y[look]
+            look = _may(n[x], n[y], 0, percent)
+            i, j, x, y = i[look], j[look], x[look], y[look]
+            look = _may(n[x], n[y], np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64), percent)
+            x, y = x[look], y[look]
+            swap = (size[x] > size[y]) | (size[x] == size[y]) & (comp[x] > comp[y])
+            x, y = np.where(swap, y, x), np.where(swap, x, y)  # y is in the larger component
+            whole = size[y] >= LARGE
+            out.update(zip(key[x[whole]].tolist(), comp[y[whole]].tolist(), [True] * int(whole.sum()), strict=True))
+            u, v = key[x[~whole]], key[y[~whole]]
+            out.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), [False] * len(u), strict=True))
+    return out
+
+
+def _across(spread: DataFrame, percent: int) -> DataFrame:
+    """Of members (sig, low, high, right, key, component, size, n, bits) of groups (sig, low, high): what a left and a right member,
+    or two left ones where there is no right one, in different components leave possible by their bitmaps: (u, v, whole).
+    Two small components give the pair of members; a large one is named as a whole (v) for the other's member u."""
+    names = ["sig", "low", "high", "right", "key", "component", "size", "n", "bits"]
 
     def run(batches):
-        for b in batches:
-            pairs, cells = set(), set()
-            for left, right in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both = left + right
-                key, comp, size, n = (np.array([x[c] for x in both], np.int64) for c in ("key", "component", "size", "n"))
-                bits, m = _folded([x["bits"] for x in both]), len(left)
-                for i in range(m):
-                    o = np.arange(m, len(both)) if right else np.arange(i + 1, m)
-                    o = o[comp[o] != comp[i]]
-                    o = o[_may(n[i], n[o], np.bitwise_count(bits[o] ^ bits[i]).sum(axis=1, dtype=np.int64), percent)]
-                    if not len(o):
-                        continue
-                    theirs = (size[o] > size[i]) | (size[o] == size[i]) & (comp[o] > comp[i])
-                    small = np.maximum(size[o], size[i]) < LARGE
-                    cells.update((int(key[i]), int(c)) for c in np.unique(comp[o[theirs & ~small]]))
-                    cells.update((int(key[j]), int(comp[i])) for j in o[~theirs & ~small])
-                    pairs.update((min(int(key[i]), int(key[j])), max(int(key[i]), int(key[j]))) for j in o[small])
-            rows = [(*x, False) for x in pairs] + [(*x, True) for x in cells]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "whole"])
-
-    return groups.mapInArrow(run, "u long, v long, whole boolean").distinct()
+        def ready(table: pa.Table):
+            sig, low, high, right, key, comp, size, n = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in names[:-1])
+            new = np.append(True, (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            rows = list(_possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "whole"])
+
+        held: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2 * BLOCK):
+                b = batch.slice(lo, 2 * BLOCK)
+                keys = np.stack([np.asarray(b.column(k)) for k in range(3)])
+                ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+                goes_on = held and all(held[-1].column(k)[0].as_py() == keys[k, 0] for k in range(3))
+                if held and not (goes_on and not len(ends)):
+                    yield ready(pa.Table.from_batches([*held, b.slice(0, ends[-1] if len(ends) else 0)]))
+                    held = []
+                elif len(ends):
+                    yield ready(pa.Table.from_batches([b.slice(0, ends[-1])]))
+                held.append(b.slice(ends[-1] if len(ends) else 0))
+        if held:
+            yield ready(pa.Table.from_batches(held))
+
+    dealt = spread.select(names).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "right")
+    return dealt.mapInArrow(run, "u long, v long, whole boolean").distinct()
 
 
 def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +314,7 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
     def run(table: pa.Table) -> pa.Table:
         mine = np.asarray(table.column("member").combine_chunks())
         key = np.asarray(table.column("key").combine_chunks())
-        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        items = [_set(x) for x in table.column("items")]
         members = np.flatnonzero(mine)
         u, v = [], []
         if len(members) and len(members) < len(mine):
@@ -250,9 +324,7 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
             flat, owner = flat[order], owner[order]
             for i in np.flatnonzero(~mine):
                 x = items[i]
-                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-                size = hi - lo
-                at = np.arange(size.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(size)])[:-1], size)
+                _, at = _ragged(np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right"))
                 both = np.bincount(owner[at], minlength=len(members))
                 ok = np.flatnonzero(100 * both >= percent * (n + len(x) - both))
                 if len(ok):
@@ -260,33 +332,32 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
                     v.append(key[members[ok[0]]])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    asked = cells.groupBy("component").agg(blocks.alias("probes"))
-    held = comp.join(asked, "component", "left_semi").groupBy("component").agg(blocks.alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_FEATURES)).cast("int")
+    sizes = sets.select("key", "n")
+    probes = cells.withColumnRenamed("u", "key").join(sizes, "key")
+    asked = apart(probes, "component", blocks.alias("probes"))
+    members = comp.withColumnRenamed("node", "key").join(asked, "component").join(sizes, "key")
+    held = apart(members, "component", blocks.alias("blocks"))
     sides = asked.join(held, "component")
     own = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    members = comp.withColumnRenamed("node", "key").join(sides, "component").select("component", "key", own("blocks").alias("block"), each("probes").alias("probe"), F.lit(True).alias("member"))
-    probes = cells.withColumnRenamed("u", "key").join(sides, "component").select("component", "key", each("blocks").alias("block"), own("probes").alias("probe"), F.lit(False).alias("member"))
+    members = members.drop("probes").join(sides, "component").select("component", "key", own("blocks").alias("block"), each("probes").alias("probe"), F.lit(True).alias("member"))
+    probes = probes.join(sides, "component").select("component", "key", each("blocks").alias("block"), own("probes").alias("probe"), F.lit(False).alias("member"))
     rows = members.unionByName(probes).join(sets.select("key", "items"), "key")
     return rows.select("component", "block", "probe", "member", "key", "items").groupBy("component", "block", "probe").applyInArrow(run, "u long, v long")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
-    """One row for each row of df: id_col, n_shingles, component_id (the smallest id reachable by links).
+def _members(grouped: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sig, key, component, size) of the members of groups; who has no component yet is one of size 1."""
+    sizes = apart(comp, "component", F.count("*").alias("size"))
+    placed = comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
+    return grouped.join(placed, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
 
-    Links join rows whose shingle sets reach percent / 100 in Jaccard similarity; percent may be 75 or more.
-    A null or empty text, or one of white space, has the empty set and is linked with nothing: its component is
-    its own id. Equal ids are rows of their own. A component whose ids are all null has a null component_id.
-    Ties go to the smaller id. Columns of df other than the two named are not read. No rows give no rows.
 
-    Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
-    others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
-    each class of equal sets; (3) PartEnum signatures; every member of a signature group is verified against the
-    group's smallest member; (4) groups that still hold several components are compared across them, in blocks, and whoever may belong to
-    a large component is compared with that component's members, in blocks too.
-    Class and shingle hashes have 64 bits.
-    """
+def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, th, n, key) of df, where th is the text's hash and equal sets share a key, null for the empty set; and of each class
+    of equal sets (key, component, least_id, least_th): the class's component, and of its rows the one with the smallest id
+    (none of them, where all ids are null), among those the one with the smallest th."""
     if percent < 75:
         raise ValueError("signatures are built for a similarity of 75 percent or more")
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
@@ -295,7 +366,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = apart(seen, "h", F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
     back = seen.join(shared, "h", "left_semi").groupBy("key").agg(F.count_distinct("h").alias("met"))
     rows = keys.where("key is not null").groupBy("key", "id", "th").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
-    classes = rows.groupBy("key").agg(F.min(F.struct("id", "th", "rows")).alias("first"), F.max("n").alias("n"))
+    named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th")))
+    classes = rows.groupBy("key").agg(F.min(F.struct("id", "th", "rows")).alias("first"), F.max("n").alias("n"), named.alias("least"))
     rate = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("n") / SAMPLE)), F.lit(0)))
     # a partner of the next size up has half the sample; where none can be that large, much more has to be shared
     least = F.when(F.col("n") * 4 < 3 * 2 * SAMPLE * rate, 6).otherwise(12)
@@ -308,44 +380,74 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     release(df.sparkSession)
 
     signed = _signed(sets)
-    pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig", "u")
-    grouped = cut(signed.join(pivots, "sig").select("sig", "u", F.col("key").alias("v")))
-    release(df.sparkSession)
-    links = cut(_verified(grouped.where("u != v").select("u", "v").distinct(), sets, percent, "bits"))
-    release(df.sparkSession)
-    comp = components(links)
+    pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig")
+    grouped = cut(signed.join(pivots, "sig"))
     release(df.sparkSession)
-    sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
-    placed = comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
-    member = grouped.select("sig", F.col("v").alias("key")).join(placed, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    comp = df.sparkSession.createDataFrame([], "node long, component long")
+    for _ in range(PIVOTS):
+        # of the other components in its groups, each member meets the one member that comes first
+        member = _members(grouped, comp)
+        first = F.struct("component", F.col("key").alias("u"))
+        ends = apart(member, "sig", F.min(first).alias("p"), F.max(first).alias("q")).where("p.component != q.component")
+        other = F.when(F.col("p.component") != F.col("component"), F.col("p")).otherwise(F.col("q"))
+        met = member.join(ends, "sig").groupBy("key").agg(F.min(other).alias("x")).select("x.u", F.col("key").alias("v"))
+        more = cut(_verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent))
+        release(df.sparkSession)
+        comp = components(comp.toDF("u", "v").union(more))
+        release(df.sparkSession)
+    member = _members(grouped, comp)
     mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
     mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # each block of a group meets itself and every other block: (b, b) and (low, high)
     spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.join(sets.select("key", "n", "bits"), "key").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", F.struct("key", "component", "size", "n", "bits").alias("x"))
-    rows = spread.groupBy("sig", "low", "high").agg(F.collect_list(F.when(F.col("own") == F.col("low"), F.col("x"))).alias("left"), F.collect_list(F.when(F.col("own") != F.col("low"), F.col("x"))).alias("right"))
-    doubtful = cut(_across(rows.where("size(left) > 0").select("left", "right"), percent))
+    spread = spread.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "key", "component", "size").join(sets.select("key", "n", "bits"), "key")
+    doubtful = cut(_across(spread, percent))
     release(df.sparkSession)
     cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
-    more = cut(_verified(doubtful.where("not whole").select("u", "v"), sets, percent, "wide").union(_against_large(cells, comp, sets, percent)))
+    more = cut(_verified(doubtful.where("not whole").select("u", "v"), sets, percent).union(_against_large(cells, comp, sets, percent)))
     release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
 
-    smallest = classes.join(comp.withColumnRenamed("node", "key"), "key").groupBy("component").agg(F.min("first.id").alias("least"))
-    label = classes.select("key", F.col("first.id").alias("own")).join(comp.withColumnRenamed("node", "key").join(smallest, "component").select("key", "least"), "key", "left").select("key", F.coalesce("least", "own").alias("component_id"))
-    return keys.join(label, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
+    smallest = apart(linked, "component", F.min("least").alias("smallest"))
+    linked = linked.join(smallest, "component").select("key", "component", "smallest")
+    out = classes.select("key", "least").join(linked, "key", "left").select("key", F.coalesce("component", "key").alias("component"), F.coalesce("smallest", "least").alias("x"))
+    return keys, out.select("key", "component", F.col("x.id").alias("least_id"), F.col("x.th").alias("least_th"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
+    """One row for each row of df: id_col, n_shingles, component_id (the smallest id reachable by links).
+
+    Links join rows whose shingle sets reach percent / 100 in Jaccard similarity; percent may be 75 or more.
+    A null or empty text, or one of white space, has the empty set and is linked with nothing: its component is
+    its own id. Equal ids are rows of their own. A component whose ids are all null has a null component_id.
+    Ties go to the smaller id. Columns of df other than the two named are not read. No rows give no rows. A text of any length
+    is read whole; its set, 8 bytes a shingle, is the most that a task needs of it at once.
+
+    Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
+    others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
+    each class of equal sets; (3) PartEnum signatures; in each of PIVOTS rounds a member of signature groups is verified against one
+    member of another component, and components grow together; (4) groups that still hold several components are compared across them,
+    in blocks, and whoever may belong to a large component is compared with that component's members, in blocks too.
+    Class and shingle hashes have 64 bits.
+    """
+    keys, classes = _classes(df, id_col, text_col, ngram, percent)
+    return keys.join(classes, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least_id", "id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = 75) -> DataFrame:
-    """df, with all its columns, but one row of each component: that of the component's smallest id.
+    """df, with all its columns, but one row of each component: that with the component's smallest id, and of rows with that id
+    the first text in hash order; of repeated rows one.
 
-    Rows without words are linked with nothing and stay. Of several rows with the id that stays the first text in hash
-    order is taken. Rows with a null id all stay. Other columns are carried along untouched.
+    Rows without words are linked with nothing and stay. Rows with a null id all stay. Rows of one id in different components are
+    judged apart. Other columns are carried along untouched.
     """
-    comp = jaccard_components(df, id_col, text_col, ngram, percent).where(F.col(id_col).isNotNull())
-    ids = comp.groupBy(id_col).agg(F.max(F.col("component_id") == F.col(id_col)).alias("stays"), F.count("*").alias("gridlake_rows")).where("stays").select(F.col(id_col).alias("gridlake_id"), "gridlake_rows")
-    left = df.join(ids, F.col(id_col) == F.col("gridlake_id"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col)))
-    first = left.where("gridlake_rows > 1").withColumn("gridlake_rank", rank).where("gridlake_rank = 1")
-    return left.where("gridlake_rows = 1").select(df.columns).union(first.select(df.columns)).union(df.where(F.col(id_col).isNull()))
+    keys, classes = _classes(df, id_col, text_col, ngram, percent)
+    named = keys.where("id is not null")
+    kept = named.join(classes, "key", "left").where("key is null or id = least_id and th = least_th")
+    kept = kept.groupBy("id", "th").agg(F.max(F.col("key").isNotNull()).alias("gridlake_one"), F.count("*").alias("gridlake_rows")).withColumnRenamed("id", "gridlake_id").withColumnRenamed("th", "gridlake_th")
+    left = df.join(kept, (F.col(id_col) == F.col("gridlake_id")) & (F.xxhash64(F.col(text_col)) == F.col("gridlake_th")))
+    rank = F.row_number().over(Window.partitionBy("gridlake_id", "gridlake_th").orderBy(F.col(text_col)))
+    first = left.where("gridlake_one and gridlake_rows > 1").withColumn("gridlake_rank", rank).where("gridlake_rank = 1")
+    return left.where("not gridlake_one or gridlake_rows = 1").select(df.columns).union(first.select(df.columns)).union(df.where(F.col(id_col).isNull()))
