@@ -13,16 +13,18 @@ Every candidate pair is verified on the whole sets. Equal sets are one class thr
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .graph import apart, components, cut, release
+from .graph import apart, components, discard, release, shared_folder, table
 
 NGRAM = 5
-SMALL, SECOND = 12, 3
+SMALL, SECOND = 12, 2
 #: Sampled shingles for each set of the first pass: from SAMPLE to twice as many.
 SAMPLE = 48
 #: Buckets a feature of a bitmap, and its bytes at most.
@@ -109,8 +111,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _keys(df: DataFrame, ngram: int, samples: bool) -> DataFrame:
-    """Of (id, th, text): (id, th, n, key), or the sampled shingles (h, key) of each distinct set of a batch."""
+def _keys(df: DataFrame, ngram: int) -> DataFrame:
+    """Of (id, th, text): (id, th, n, key, sample) with the sampled shingles of the set, once for each distinct set of a batch."""
 
     def run(batches):
         for b in batches:
@@ -118,17 +120,15 @@ def _keys(df: DataFrame, ngram: int, samples: bool) -> DataFrame:
                 text, h = shingle_sets(t, ngram)
                 n, sums = _sums(text, h, t.n)
                 key = set_key(sums, n)
-                if not samples:
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, mask=n == 0)], ["id", "th", "n", "key"])
-                    continue
-                firsts = np.zeros(t.n, bool)
-                firsts[np.unique(key, return_index=True)[1]] = True
+                first = np.zeros(t.n, bool)
+                first[np.unique(key, return_index=True)[1]] = True
                 mask = (tk.U64(1) << sampled(n).astype(np.uint64)) - tk.U64(1)
-                keep = firsts[text] & (tk.mix(h) & mask[text] == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(key[text[keep]]), pa.array(sampled(n)[text[keep]].astype(np.int32))], ["h", "key", "bits"])
+                keep = first[text] & (tk.mix(h) & mask[text] == 0)
+                edge = np.append(0, np.cumsum(np.bincount(text[keep], minlength=t.n)))
+                sample = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h[keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, mask=n == 0), sample], ["id", "th", "n", "key", "sample"])
 
-    kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, "h long, key long, bits int" if samples else f"id {kind}, th long, n long, key long")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, th long, n long, key long, sample array<long>")
 
 
 def _sets(df: DataFrame, ngram: int) -> DataFrame:
@@ -361,8 +361,11 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     if percent < 75:
         raise ValueError("signatures are built for a similarity of 75 percent or more")
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    keys = cut(_keys(docs, ngram, False))
-    seen = _keys(docs, ngram, True)
+    folder = f"{shared_folder(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
+    kept = lambda x, name: table(x, f"{folder}/{name}")
+    keys = kept(_keys(docs, ngram), "keys")
+    seen = keys.where("key is not null").select(F.explode("sample").alias("h"), "key")
+    keys = keys.drop("sample")
     shared = apart(seen, "h", F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
     back = seen.join(shared, "h", "left_semi").groupBy("key").agg(F.count_distinct("h").alias("met"))
     rows = keys.where("key is not null").groupBy("key", "id", "th").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
@@ -371,27 +374,27 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     rate = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.col("n") / SAMPLE)), F.lit(0)))
     # a partner of the next size up has half the sample; where none can be that large, much more has to be shared
     least = F.when(F.col("n") * 4 < 3 * 2 * SAMPLE * rate, 6).otherwise(12)
-    hopeful = cut(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"))
+    hopeful = kept(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"), "hopeful")
     release(df.sparkSession)
     wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
     found = _thinned(docs, hopeful).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
     alone, often = (_sets(found.where(c).select("key", "text"), ngram) for c in ("rows = 1", "rows > 1"))
-    sets = cut(alone.union(often.dropDuplicates(["key"])))
+    sets = kept(alone.union(often.dropDuplicates(["key"])), "sets")
     release(df.sparkSession)
 
     signed = _signed(sets)
     pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig")
-    grouped = cut(signed.join(pivots, "sig"))
+    grouped = kept(signed.join(pivots, "sig"), "grouped")
     release(df.sparkSession)
     comp = df.sparkSession.createDataFrame([], "node long, component long")
-    for _ in range(PIVOTS):
+    for r in range(PIVOTS):
         # of the other components in its groups, each member meets the one member that comes first
         member = _members(grouped, comp)
         first = F.struct("component", F.col("key").alias("u"))
         ends = apart(member, "sig", F.min(first).alias("p"), F.max(first).alias("q")).where("p.component != q.component")
         other = F.when(F.col("p.component") != F.col("component"), F.col("p")).otherwise(F.col("q"))
         met = member.join(ends, "sig").groupBy("key").agg(F.min(other).alias("x")).select("x.u", F.col("key").alias("v"))
-        more = cut(_verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent))
+        more = kept(_verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent), f"met-{r}")
         release(df.sparkSession)
         comp = components(comp.toDF("u", "v").union(more))
         release(df.sparkSession)
@@ -402,12 +405,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     # each block of a group meets itself and every other block: (b, b) and (low, high)
     spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "key", "component", "size").join(sets.select("key", "n", "bits"), "key")
-    doubtful = cut(_across(spread, percent))
+    doubtful = kept(_across(spread, percent), "doubtful")
     release(df.sparkSession)
     cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
-    more = cut(_verified(doubtful.where("not whole").select("u", "v"), sets, percent).union(_against_large(cells, comp, sets, percent)))
+    more = kept(_verified(doubtful.where("not whole").select("u", "v"), sets, percent).union(_against_large(cells, comp, sets, percent)), "links")
     release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
+    for name in ("hopeful", "sets", "grouped", "doubtful", "links"):
+        discard(df.sparkSession, f"{folder}/{name}")
 
     linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
     smallest = apart(linked, "component", F.min("least").alias("smallest"))
