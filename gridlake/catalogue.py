@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.functions import text
+from gridlake.functions import predicates, text
 from gridlake.functions.grid import Grid, Step, uuid_ms_col
 from gridlake.operators import changes, convert, fk, migrate, observe, regrain, retain
 from gridlake.plans import planner
-from gridlake.plans.registry import Config, ForeignKey, Lake, Manifest, Part
+from gridlake.plans.registry import Config, ForeignKey, Lake, Manifest, Part, Refused
 from gridlake.sources import archive, generate, scan
+from gridlake.streaming import tick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -284,11 +285,6 @@ def q25_archive_chunks(spark, sf):
     return both.select("row_sum", F.lit(gaps).cast("long").alias("gaps"), F.lit(first).cast("long").alias("first_lo"), F.lit(found[-1][1]).cast("long").alias("last_hi"), "ties_split", F.lit(len(found) > 1).alias("several"))
 
 
-@query("SELECT json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id)::VARCHAR AS value FROM events WHERE event_id < 3000")
-def q26_ndjson(spark, sf):
-    return archive.ndjson_lines(table(spark, sf, "events").where("event_id < 3000").select("event_id", "event_type", "user_id"), ["event_id"])
-
-
 # ---- references -----------------------------------------------------------------------------------------------------
 
 
@@ -482,14 +478,6 @@ def q48_keyset_page(spark, sf):
     return table(spark, sf, "events").where("event_id % 4 = 0 and event_id > 800").orderBy("event_id").limit(300).select("event_id", "value")
 
 
-@query("SELECT part, lo, hi FROM (SELECT *, lag(hi) OVER (PARTITION BY part ORDER BY lo) AS p FROM (SELECT DISTINCT l_linenumber AS part, l_orderkey // 100 AS lo, l_orderkey // 100 + 1 AS hi FROM lineitem WHERE l_orderkey < 3000 AND l_orderkey // 100 % 7 <> 3)) WHERE p <> lo")
-def q49_ledger_gaps(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 3000 and l_orderkey div 100 % 7 <> 3")
-    lo = Grid("id", 100).floor_col(F.col("l_orderkey"))
-    ledger = li.select(F.col("l_linenumber").alias("child"), (lo / 100).cast("long").alias("lo"), (lo / 100 + 1).cast("long").alias("hi")).distinct()
-    return planner.ledger_gaps(ledger).select(F.col("child").alias("part"), "lo", "hi")
-
-
 @query("SELECT DISTINCT replace(replace(replace(url_encode(p_name || ' ~*/+' || p_type), '+', '%20'), '*', '%2A'), '%7E', '~') AS u, regexp_replace(p_brand, '[^0-9]', '', 'g') AS d FROM part")
 def q50_url_encode(spark, sf):
     p = table(spark, sf, "part")
@@ -521,11 +509,238 @@ def q53_archive_and_drop(spark, sf):
     lake = events_lake(spark, sf, retain=4000)
     top = table(spark, sf, "events").agg(F.max("event_id")).first()[0]
     archive.configure(lake, "parquet", f"{lake.root}/archive")  # before the split, which leaves out aged ranges that nothing archives
-    if top > 2000:
-        regrain.regrain(lake, lake.manifest().attached[0].child, AS_OF, front=top + 5000)
+    regrain.regrain_history(lake, AS_OF, front=top + 5000)
     lake.publish(planner.write_blocks(lake.manifest(), planner.horizon(lake.manifest().config, top, AS_OF)))
     while archive.archive_step(lake, AS_OF):
         pass
     retain.retain(lake, AS_OF, top)
     lo = Grid("id", 1000).floor_col(F.col("event_id"))
     return scan.table(lake).groupBy(lo.alias("lo")).agg(F.count("*").alias("n"))
+
+
+# ---- whole tables through sinks, ledgers, conversions and the tick ---------------------------------------------------------
+
+
+@query("SELECT json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id)::VARCHAR AS value FROM events")
+def q54_ndjson_sink(spark, sf):
+    lake = fresh_lake(spark)
+    m = convert.manage(lake, table(spark, sf, "events").select("event_id", "event_type", "user_id"), "events", "event_id", 1000, AS_OF, key=("event_id",), obtain=0)
+    p = m.attached[0]
+    return spark.read.text(archive.to_ndjson(f"{lake.root}/archive")(lake, m, p, p.lo, p.hi).key)
+
+
+@query("SELECT part, lo, hi FROM (SELECT *, lag(hi) OVER (PARTITION BY part ORDER BY lo) AS p FROM (SELECT DISTINCT l_linenumber AS part, l_orderkey // 100 AS lo, l_orderkey // 100 + 1 AS hi FROM lineitem WHERE l_orderkey // 100 % 7 <> 3)) WHERE p <> lo")
+def q55_gaps_of_a_ledger(spark, sf):
+    li = table(spark, sf, "lineitem").where("l_orderkey div 100 % 7 <> 3")  # the gaps that are looked for
+    lo = Grid("id", 100).floor_col(F.col("l_orderkey"))
+    ledger = li.select(F.col("l_linenumber").alias("child"), (lo / 100).cast("long").alias("lo"), (lo / 100 + 1).cast("long").alias("hi")).distinct()
+    return planner.ledger_gaps(ledger).select(F.col("child").alias("part"), "lo", "hi")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE user_id END AS tile, user_id + 1 AS cell, user_id + 2 AS lo, user_id + 3 AS hi, event_type AS child FROM events WHERE event_id % 10 <> 1")
+def q56_clashing_columns(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("tile"), (F.col("user_id") + 1).alias("cell"), (F.col("user_id") + 2).alias("lo"), (F.col("user_id") + 3).alias("hi"), F.col("event_type").alias("child"))
+    lake = fresh_lake(spark)
+    convert.manage(lake, e, "events", "event_id", 1000, AS_OF, key=("event_id",), obtain=1)
+    front = e.agg(F.max("event_id")).first()[0] + 5000
+    regrain.regrain_history(lake, AS_OF, front=front)
+    changes.apply_changes(lake, e.where("event_id % 10 = 0").withColumn("tile", F.lit(-1).cast("long")), e.where("event_id % 10 = 1").select("event_id"))
+    return migrate.copy(migrate.Source(scan.table(lake), "event_id"), f"{lake.root}/copied", Grid("id", 1000))
+
+
+@query("SELECT true AS refused, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS changed FROM events")
+def q57_repeated_keys(spark, sf):
+    lake = events_lake(spark, sf)
+    e = table(spark, sf, "events").where("event_id % 3 = 0")
+    twice = e.withColumn("user_id", F.lit(-2).cast("long")).union(e.withColumn("user_id", F.lit(-1).cast("long")))
+    try:
+        changes.apply_changes(lake, twice)
+        refused = False
+    except Refused:
+        refused = True
+    changes.apply_changes(lake, changes.latest(twice, ["event_id"], ["user_id"]))
+    return scan.table(lake).agg(F.lit(refused).alias("refused"), F.count("*").alias("n"), F.count_if(F.col("user_id") == -1).alias("changed"))
+
+
+@query("SELECT true AS refused, count(*) AS n FROM events")
+def q58_write_block(spark, sf):
+    lake, e = events_lake(spark, sf), table(spark, sf, "events")
+    lake.publish(planner.write_blocks(lake.manifest(), lake.manifest().attached[0].hi))
+    try:
+        changes.apply_changes(lake, e.where("event_id % 2 = 0"))
+        refused = False
+    except Refused:
+        refused = True
+    lake.publish(planner.write_blocks(lake.manifest(), None))
+    changes.apply_changes(lake, e)
+    return scan.table(lake).agg(F.lit(refused).alias("refused"), F.count("*").alias("n"))
+
+
+@query("SELECT (epoch_us(TIMESTAMP '2024-01-01') + i * (6 * 2592000000000 // 2000)) // 1000 AS ms FROM range(1, 2001) t(i)")
+def q59_uuid_events(spark, sf):
+    return generate.uuid_events(spark, 2000).select(uuid_ms_col(F.col("id")).alias("ms"))
+
+
+@query("SELECT i AS id, TIMESTAMP '2024-01-01' + to_microseconds(i * (6 * 2592000000000 // 2000)) AS created_at, i * 2654435761 % 50000 AS user_id, i % 8 AS kind, repeat(md5(i::VARCHAR), 11) AS payload FROM range(1, 2001) t(i)")
+def q60_generated_events(spark, sf):
+    return generate.events(spark, 2000)
+
+
+@query("SELECT event_id // 500 * 500 AS lo, count(*) AS n FROM events GROUP BY 1")
+def q61_child_scans(spark, sf):
+    lake, e = events_lake(spark, sf), table(spark, sf, "events")
+    regrain.regrain(lake, lake.manifest().attached[0].child, AS_OF, 500, e.agg(F.max("event_id")).first()[0] + 5000)
+    m, out = lake.manifest(), None
+    for p in m.attached[:40]:  # at most 40 children one by one, the rest of them in one scan
+        one = scan.child(lake, p.child, m).select("event_id")
+        out = one if out is None else out.unionAll(one)
+    rest = scan.read(lake, m, m.attached[40:]).select("event_id")
+    return out.unionAll(rest).groupBy(Grid("id", 500).floor_col(F.col("event_id")).alias("lo")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT unnest(range(min(l_orderkey) // 1000 * 1000, max(l_orderkey) // 1000 * 1000 + 1, 1000)) AS lo FROM lineitem")
+def q62_chunk_scan(spark, sf):
+    found = scan.chunks(table(spark, sf, "lineitem"), Grid("id", 1000), "l_orderkey")
+    return spark.createDataFrame(found, "lo bigint, hi bigint").select("lo")
+
+
+@query("""WITH b AS (SELECT min(event_id) // 1000 * 1000 AS a, max(event_id) // 1000 * 1000 + 1000 AS z FROM events)
+SELECT 'events' AS parent, a AS lo, z AS hi, true AS attached, 1::INT AS n_files FROM b UNION ALL SELECT 'events', z + k * 1000, z + k * 1000 + 1000, true, 0 FROM b, range(2) t(k)""")
+def q63_partitions_view(spark, sf):
+    return scan.partitions_view(events_lake(spark, sf), f"parts_{uuid.uuid4().hex}").select("parent", "lo", "hi", "attached", "n_files")
+
+
+@query("SELECT max(event_id) // 1000 * 1000 + 1000 AS covered_hi, count(*) AS n FROM events")
+def q64_noop_sink(spark, sf):
+    lake = events_lake(spark, sf)
+    m = lake.manifest()
+    r = archive.noop(lake, m, m.attached[0], m.attached[0].lo, m.attached[0].hi)
+    return spark.createDataFrame([(r.covered_hi, r.rows)], "covered_hi bigint, n bigint")
+
+
+@query("SELECT event_id, user_id, user_id * 2 AS twice, event_type || '!' AS loud FROM events")
+def q65_generated_columns(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", F.lit(0).alias("twice"), "event_type", F.lit("").alias("loud"))
+    return changes.with_generated(e, (("twice", "user_id * 2"), ("loud", "event_type || '!'"))).drop("event_type")
+
+
+@query("SELECT least(count(*), 50) - 1 AS neighbours, least(count(*), 70) AS uuids FROM events")
+def q66_samples(spark, sf):
+    e = table(spark, sf, "events")
+    a = observe.check_time_monotonic(e, "event_id", "ts", 50).select(F.col("sampled").alias("neighbours"))
+    n = e.count()
+    b = observe.check_uuidv7(generate.uuid_events(spark, n), "id", AS_OF, 70).select(F.col("sampled").alias("uuids"))
+    return a.join(F.broadcast(b))  # a row each
+
+
+@query("SELECT CASE WHEN k = 1 THEN 0 ELSE k END AS parts, n FROM (SELECT max(event_id) // 1000 - min(event_id) // 1000 + 1 AS k, count(*) AS n FROM events)")
+def q67_regrain_history(spark, sf):
+    lake = events_lake(spark, sf)
+    k = regrain.regrain_history(lake, AS_OF, front=table(spark, sf, "events").agg(F.max("event_id")).first()[0] + 5000)
+    return scan.table(lake).agg(F.lit(k).cast("long").alias("parts"), F.count("*").alias("n"))
+
+
+@query("SELECT 1::BIGINT AS folders, 0::BIGINT AS left_over, count(*) AS n FROM events")
+def q68_cancelled_split(spark, sf):
+    lake = events_lake(spark, sf)
+    child, front = lake.manifest().attached[0].child, table(spark, sf, "events").agg(F.max("event_id")).first()[0] + 5000
+    while not regrain.regrain_step(lake, child, AS_OF, 500, front).startswith("copied"):
+        pass
+    gone = convert.abort(lake)
+    return scan.table(lake).agg(F.lit(gone).cast("long").alias("folders"), F.lit(convert.abort(lake)).cast("long").alias("left_over"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, ts, value FROM events")
+def q69_cutover_with_changes(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "value")
+    delta = e.where("event_id % 3 = 0").select("event_id", F.col("event_id").alias("seq"))
+    lake = fresh_lake(spark)
+    migrate.from_chunks(lake, migrate.Source(e, "event_id", ("event_id",)), "events", Grid("id", 1000), AS_OF, delta)
+    return scan.table(lake)
+
+
+@query("SELECT event_id, ts, value FROM events")
+def q70_cutover(spark, sf):
+    lake = fresh_lake(spark)
+    e = table(spark, sf, "events").select("event_id", "ts", "value")
+    migrate.from_chunks(lake, migrate.Source(e, "event_id", ("event_id",)), "events", Grid("id", 1000), AS_OF)
+    return scan.table(lake)
+
+
+@query("SELECT 5::BIGINT AS refused")
+def q71_preflight(spark, sf):
+    e, refused = table(spark, sf, "events"), 0
+    for bad, track in (({"control": "nope"}, False), ({"dimensions": 2}, False), ({"continuous_aggregates": True}, False), ({"unvalidated_references": ("f",)}, False), ({}, True)):
+        try:
+            migrate.preflight(migrate.Source(**({"df": e, "control": "ts"} | bad)), track)
+        except Refused:
+            refused += 1
+    return spark.createDataFrame([(refused,)], "refused bigint")
+
+
+@query("SELECT date_trunc('month', min(o_orderdate))::TIMESTAMP AS lo, TIMESTAMP '2024-03-01' AS hi, count(*) AS n FROM orders")
+def q72_manage_by_time(spark, sf):
+    lake = fresh_lake(spark)
+    p = convert.manage(lake, table(spark, sf, "orders"), "orders", "o_orderdate", Step(1), AS_OF, obtain=0).attached[0]
+    return scan.table(lake).agg(F.lit(p.lo).cast("timestamp_ntz").alias("lo"), F.lit(p.hi).cast("timestamp_ntz").alias("hi"), F.count("*").alias("n"))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, true AS was_managed, false AS is_managed FROM events")
+def q73_unmanage(spark, sf):
+    lake = events_lake(spark, sf)
+    was = lake.managed
+    return convert.unmanage(lake).select("event_id", "ts", "user_id", "event_type", "value", F.lit(was).alias("was_managed"), F.lit(lake.managed).alias("is_managed"))
+
+
+@query("SELECT false AS paused, 7::INT AS obtain, true AS refused")
+def q74_settings(spark, sf):
+    lake = events_lake(spark, sf)
+    convert.configure(lake, paused=False, obtain=7)
+    try:
+        convert.configure(lake, colour="red")
+        refused = False
+    except Refused:
+        refused = True
+    c = lake.manifest().config
+    return spark.createDataFrame([(c.paused, c.obtain, refused)], "paused boolean, obtain int, refused boolean")
+
+
+@query("""SELECT event_id // 1000 * 1000 AS lo, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT max(event_id) // 1000 * 1000 + 1500 FROM events)
+WHERE event_id >= (SELECT max(event_id) // 1000 * 1000 - 3000 FROM events) GROUP BY 1""")
+def q75_tick(spark, sf):
+    lake, e = events_lake(spark, sf, retain=4000), table(spark, sf, "events")
+    hi = lake.manifest().attached[0].hi
+    changes.apply_changes(lake, e.limit(1).withColumn("event_id", F.lit(hi + 500).cast("long")))
+    convert.configure(lake, archive="noop", paused=False, regrain_to=1000)
+    for _ in range(4):
+        tick.tick_all([lake], AS_OF)
+    return scan.table(lake).groupBy(Grid("id", 1000).floor_col(F.col("event_id")).alias("lo")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 1::BIGINT AS suspended, 1::BIGINT AS restored, 1::BIGINT AS validated, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def q76_references(spark, sf):
+    o, li, lake = table(spark, sf, "orders"), table(spark, sf, "lineitem"), fresh_lake(spark)
+    ref = ForeignKey("of_order", "lineitem", ("l_orderkey",), ("o_orderkey",))
+    convert.manage(lake, o, "orders", "o_orderkey", 1000, AS_OF, key=("o_orderkey",), obtain=0, fks=(ref,), incoming_fks="preserve")
+    out, there = fk.suspend(lake, AS_OF), fk.restore(lake, AS_OF)
+    n = fk.orphan_counts(lake, o, {"lineitem": li}).first()["orphan_rows"]
+    done = fk.validate(lake, o, {"lineitem": li.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")}, AS_OF)
+    return spark.createDataFrame([(out, there, done, n)], "suspended bigint, restored bigint, validated bigint, orphans bigint")
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 = ANY([1, 3, 5])")
+def q77_any_of(spark, sf):
+    return table(spark, sf, "events").where(predicates.any_of(F.col("event_id") % 7, F.array(F.lit(1), F.lit(3), F.lit(5)))).select("event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'F') IS DISTINCT FROM nullif(o_orderpriority, '1-URGENT')")
+def q78_distinct_from(spark, sf):
+    a, b = F.nullif(F.col("o_orderstatus"), F.lit("F")), F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT"))
+    return table(spark, sf, "orders").where(predicates.distinct_from(a, b)).select("o_orderkey")
+
+
+@query("SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS part, unnest(range(len(string_split(n_name, 'A')))) AS pos FROM nation")
+def q79_zipped_unnest(spark, sf):
+    parts = F.split("n_name", "A")
+    both = predicates.zipped(part=parts, pos=F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1))
+    return table(spark, sf, "nation").select("n_nationkey", F.inline(both).alias("part", "pos"))

@@ -11,6 +11,9 @@ from gridlake.plans import planner
 from gridlake.plans.registry import Lake, Manifest, Refused, replace
 from gridlake.sources import scan
 
+#: What rows are filed by; no managed table has such a column.
+CHILD = "gridlake_child"
+
 
 def copy_missing(source: DataFrame, target: DataFrame, key: list[str], control: str | None = None, after=None, batch: int | None = None) -> DataFrame:
     """Rows of source whose key target has not, beyond a watermark, the first ``batch`` of them by control."""
@@ -25,7 +28,15 @@ def reconcile(target: DataFrame, source: DataFrame, keys: DataFrame, key: list[s
     return target.join(k, key, "left_anti").select(target.columns).unionByName(source.join(k, key, "left_semi").select(target.columns))
 
 
+def require_unique(rows: DataFrame, key: list[str]) -> None:
+    """Refuse rows of which two have the same key: neither is the one to keep. latest() picks one by an order."""
+    if not rows.groupBy(*key).agg(F.count("*").alias("gridlake_n")).where("gridlake_n > 1").isEmpty():
+        raise Refused("two of the rows have the same key")
+
+
 def upsert(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """target with rows put in the place of those with their keys; refused where rows repeat a key."""
+    require_unique(rows, key)
     return target.join(rows.select(*key), key, "left_anti").select(target.columns).unionByName(rows.select(target.columns))
 
 
@@ -76,7 +87,7 @@ def require_key(m: Manifest) -> list[str]:
 def apply_changes(lake: Lake, upserts: DataFrame | None = None, deletes: DataFrame | None = None, as_of: dt.datetime | None = None) -> Manifest:
     """Upsert and delete by key, in one new version of the partitions touched.
 
-    Refused where a row has no partition, its partition takes no writes, or a key is null. Keys that change while
+    Refused where a row has no partition, its partition takes no writes, a key is null, or two rows have the same key. Keys that change while
     their partition is being split are recorded, so that the split takes them up.
     """
     m = lake.manifest()
@@ -85,13 +96,14 @@ def apply_changes(lake: Lake, upserts: DataFrame | None = None, deletes: DataFra
     gone = (deletes.select(*key) if deletes is not None else rows.select(*key).limit(0)).unionByName(rows.select(*key)).distinct()
     if not gone.where(" or ".join(f"`{k}` is null" for k in key)).isEmpty():
         raise Refused("a key can't be null")
+    require_unique(rows, key)
     parts = planner.parts_frame(lake.spark, m.attached, c.grid)
-    routed = planner.route(rows, c.control, parts, c.grid, "left")
-    if not routed.where("child is null").isEmpty():
+    routed = planner.route(rows, c.control, parts, c.grid, "left", CHILD)
+    if not routed.where(f"{CHILD} is null").isEmpty():
         raise Refused(f"no partition of {c.table} covers some of the rows")
     # a key may have moved between partitions: where the key holds the control column it names its partition
     if c.control in key:
-        touched = [r["child"] for r in planner.route(gone, c.control, parts, c.grid).select("child").distinct().collect()]
+        touched = [r[CHILD] for r in planner.route(gone, c.control, parts, c.grid, name=CHILD).select(CHILD).distinct().collect()]
     else:
         touched = [p.child for p in m.attached]
     old = [m.part(x) for x in touched]
@@ -99,11 +111,11 @@ def apply_changes(lake: Lake, upserts: DataFrame | None = None, deletes: DataFra
         if p.read_only:
             raise Refused(f"{p.child} is past the retention horizon and takes no writes")
     kept = scan.read(lake, m, old).join(gone, key, "left_anti").select(rows.columns)
-    new = planner.route(kept.unionByName(rows), c.control, parts, c.grid).withColumn("gridlake_child", F.col("child")).drop("child")
+    new = planner.route(kept.unionByName(rows), c.control, parts, c.grid, name=CHILD)
     folder = lake.folder()
-    new.repartition("gridlake_child").write.partitionBy("gridlake_child").parquet(f"{lake.root}/{folder}")
+    new.repartitionByRange(CHILD, c.control).write.partitionBy(CHILD).parquet(f"{lake.root}/{folder}")
     held = set(lake.store.names(folder))
-    files = {x: ((f"{folder}/gridlake_child={x}",) if f"gridlake_child={x}" in held else ()) for x in touched}
+    files = {x: ((f"{folder}/{CHILD}={x}",) if f"{CHILD}={x}" in held else ()) for x in touched}
     m2 = replace(m, parts=tuple(replace(p, files=files[p.child]) if p.child in files else p for p in m.parts))
     if m.staging and m.staging["child"] in files:
         d = lake.folder()

@@ -44,6 +44,8 @@ def manage(lake: Lake, df: DataFrame, table: str, control: str, step: Step | int
     grid = Grid(kind, step, anchor)
     if control not in df.columns:
         raise Refused(f"there is no column {control}")
+    if own := [c for c in df.columns if c.lower().startswith("gridlake_")]:
+        raise Refused(f"names that begin with gridlake_ are the library's own: {', '.join(own)}")
     grid.check_type(df.schema[control].dataType)
     check_key(df, control, list(key))
     if fks and incoming_fks == "error":

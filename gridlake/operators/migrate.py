@@ -55,9 +55,9 @@ def estimate(n_bytes: int, mibps: float | None = None) -> dict:
 
 def copy(s: Source, path: str, grid: Grid) -> DataFrame:
     """All rows, dealt by range of the control column and filed by cell, in one job; generated columns are left out."""
-    out = s.df.drop(*(g for g, _ in s.generated)).withColumn("cell", grid.floor_col(grid.native_col(F.col(s.control))))
-    out.repartitionByRange(s.control).sortWithinPartitions(s.control).write.partitionBy("cell").parquet(path)
-    return s.df.sparkSession.read.parquet(path).drop("cell")
+    out = s.df.drop(*(g for g, _ in s.generated)).withColumn("gridlake_cell", grid.floor_col(grid.native_col(F.col(s.control))))
+    out.repartitionByRange(s.control).sortWithinPartitions(s.control).write.partitionBy("gridlake_cell").parquet(path)
+    return s.df.sparkSession.read.parquet(path).drop("gridlake_cell")
 
 
 def drain_delta_step(target: DataFrame, source: DataFrame, delta: DataFrame, key: list[str], control: str, batch: int) -> tuple[DataFrame, DataFrame, int]:
@@ -100,10 +100,11 @@ def drain_appends(target: DataFrame, source: DataFrame, control: str, batch: int
 
 
 def from_chunks(lake: Lake, s: Source, table: str, grid: Grid, as_of: dt.datetime, delta: DataFrame | None = None, **options) -> Manifest:
-    """Copy, last catch-up, and management in one go."""
+    """Copy, last catch-up, and management in one go. Without changes to catch up with, the copy's files are taken as they are."""
     preflight(s, delta is not None)
     folder = lake.folder()
     target = copy(s, f"{lake.root}/{folder}", grid)
     if delta is not None:
         target, _ = drain_delta(target, s.df.drop(*(g for g, _ in s.generated)), delta, list(s.key), s.control, 1 << 30)
-    return manage(lake, target, table, s.control, grid.step, as_of, grid.kind, grid.anchor, s.key, **options)
+    files = tuple(f"{folder}/{n}" for n in lake.store.names(folder) if n.startswith("gridlake_cell=")) if delta is None else ()
+    return manage(lake, target, table, s.control, grid.step, as_of, grid.kind, grid.anchor, s.key, files=files or None, **options)

@@ -13,6 +13,9 @@ from gridlake.plans import planner
 from gridlake.plans.registry import Lake, Manifest, Part, Refused, replace
 from gridlake.sources import scan
 
+#: What tiles are filed by; no managed table has such a column.
+TILE = "gridlake_tile"
+
 
 def _grid(m: Manifest, step) -> Grid:
     return Grid(m.config.grid.kind, step or m.config.regrain_to or m.config.grid.step, m.config.grid.anchor)
@@ -22,7 +25,7 @@ def tiled(df: DataFrame, control: str, grid: Grid, lo, hi) -> DataFrame:
     """df with the lower bound of its tile of [lo, hi): the cell's, but not under lo."""
     v = grid.native_col(F.col(control))
     low = literal(lo)
-    return df.where(grid.within_col(F.col(control), lo, hi)).withColumn("tile", F.greatest(grid.floor_col(v), low))
+    return df.where(grid.within_col(F.col(control), lo, hi)).withColumn(TILE, F.greatest(grid.floor_col(v), low))
 
 
 def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=None) -> str:
@@ -56,8 +59,8 @@ def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=No
     if s["folder"] is None:
         folder = lake.folder()
         rows = tiled(scan.read(lake, m, [p]), m.config.control, grid, lo, hi)
-        rows.repartitionByRange(m.config.control).sortWithinPartitions(m.config.control).write.partitionBy("tile").parquet(f"{lake.root}/{folder}")
-        held = any(x.startswith("tile=") for x in lake.store.names(folder))
+        rows.repartitionByRange(m.config.control).sortWithinPartitions(m.config.control).write.partitionBy(TILE).parquet(f"{lake.root}/{folder}")
+        held = any(x.startswith(f"{TILE}=") for x in lake.store.names(folder))
         n = lake.spark.read.parquet(f"{lake.root}/{folder}").count() if held else 0
         lake.publish(replace(m, staging=s | {"folder": folder, "rows": n}))
         return f"copied:{n}"
@@ -66,7 +69,7 @@ def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=No
         source = tiled(scan.read(lake, m, [p]), m.config.control, grid, lo, hi)
         staged = tiled(_staged(lake, m, s), m.config.control, grid, lo, hi)
         folder = lake.folder()
-        reconcile(staged, source, keys, list(m.config.key)).repartitionByRange(m.config.control).write.partitionBy("tile").parquet(f"{lake.root}/{folder}")
+        reconcile(staged, source, keys, list(m.config.key)).repartitionByRange(m.config.control).write.partitionBy(TILE).parquet(f"{lake.root}/{folder}")
         n = keys.count()
         lake.publish(replace(m, staging=s | {"folder": folder}, delta=()))
         return f"reconciled:{n}"
@@ -83,8 +86,8 @@ def _tile_folders(lake: Lake, folder: str, grid: Grid) -> dict:
 
     out = {}
     for n in lake.store.names(folder):
-        if n.startswith("tile="):
-            v = unquote(n[5:])
+        if n.startswith(f"{TILE}="):
+            v = unquote(n[len(TILE) + 1 :])
             out[int(v) if grid.kind == "id" else dt.datetime.fromisoformat(v)] = f"{folder}/{n}"
     return out
 

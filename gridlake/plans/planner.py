@@ -127,7 +127,7 @@ def contained(parts: DataFrame) -> DataFrame:
 def ledger_gaps(ledger: DataFrame) -> DataFrame:
     """Entries (child, lo, hi) that do not begin where the entry before them ends."""
     before = F.lag("hi").over(Window.partitionBy("child").orderBy("lo"))
-    return ledger.withColumn("before", before).where("before is not null and before <> lo")
+    return ledger.withColumn("before", before).where("before is not null and not (before <=> lo)")
 
 
 def write_blocks(m: Manifest, boundary) -> Manifest:
@@ -143,14 +143,14 @@ def parts_frame(spark, parts, grid: Grid) -> DataFrame:
     return spark.createDataFrame([(p.child, p.lo, p.hi) for p in parts], f"child string, lo {kind}, hi {kind}")
 
 
-def route(df: DataFrame, control: str, parts: DataFrame, grid: Grid, how: str = "inner") -> DataFrame:
-    """df with the child that covers each row. Both sides meet on the grid cell, so that this is an equi-join however
+def route(df: DataFrame, control: str, parts: DataFrame, grid: Grid, how: str = "inner", name: str = "child") -> DataFrame:
+    """df with the child that covers each row in the column ``name``, which df must not have. Both sides meet on the grid cell, so that this is an equi-join however
     many parts there are, and coarse and fine parts mix: a part stands once for each cell it touches."""
-    spread = parts.withColumn("cell", F.explode(cells_col(grid, F.col("lo"), F.col("hi"))))
+    spread = parts.select(F.col("child").alias(name), F.col("lo").alias("gridlake_lo"), F.col("hi").alias("gridlake_hi"), F.explode(cells_col(grid, F.col("lo"), F.col("hi"))).alias("gridlake_of"))
     v = grid.native_col(F.col(control))
     rows = df.withColumn("gridlake_v", v).withColumn("gridlake_cell", grid.floor_col(F.col("gridlake_v")))
-    on = (F.col("gridlake_cell") == F.col("cell")) & (F.col("gridlake_v") >= F.col("lo")) & (F.col("gridlake_v") < F.col("hi"))
-    return rows.join(spread, on, how).drop("gridlake_v", "gridlake_cell", "cell", "lo", "hi")
+    on = (F.col("gridlake_cell") == F.col("gridlake_of")) & (F.col("gridlake_v") >= F.col("gridlake_lo")) & (F.col("gridlake_v") < F.col("gridlake_hi"))
+    return rows.join(spread, on, how).drop("gridlake_v", "gridlake_cell", "gridlake_of", "gridlake_lo", "gridlake_hi")
 
 
 def cells_col(grid: Grid, lo, hi):

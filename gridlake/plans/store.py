@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -44,10 +45,25 @@ class Store:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        done = not self._fs.exists(self._path(name)) and self._fs.rename(draft, self._path(name))
-        if not done:
+        try:
+            self._put(draft, self._path(name))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            return False
+        finally:
             self._fs.delete(draft, False)
-        return bool(done)
+        return True
+
+    def _put(self, draft, final) -> None:
+        """Give the draft its final name in one step, which fails where the name is taken."""
+        if self._fs.getUri().getScheme() == "file":  # a rename would replace what is there; a second link to the file can't
+            at = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(at(final), at(draft))
+            return
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        keep = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, keep)
 
     def delete(self, name: str) -> bool:
         return bool(self._fs.delete(self._path(name), True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,9 @@ from gridlake.plans import planner
 from gridlake.plans.registry import Lake, Manifest, Part, Refused, replace
 from gridlake.sources import scan
 
+#: Chunks that are written at the same time.
+AT_ONCE = 8
+
 
 @dataclass(frozen=True)
 class Archived:
@@ -118,18 +122,31 @@ def strategy_of(name: str) -> Callable:
 def archive_step(lake: Lake, as_of: dt.datetime) -> int:
     """One chunk of every read-only partition that the ledger does not cover yet, oldest first; chunks done.
 
+    What is left of a partition is one chunk where all of it fits the budget; one job finds that out for all partitions, and only
+    larger ones are read in order. AT_ONCE chunks are written at a time.
     A strategy that makes no progress leaves no ledger row, so that the same chunk is tried again."""
     m, done = lake.manifest(), 0
     c = m.config
     if c.archive is None:
         return 0
     strategy = strategy_of(c.archive)
-    for p in [p for p in m.attached if p.read_only and not planner.covered(m, p)]:
-        chunk = planner.next_chunk(scan.read(lake, m, [p]), c.grid, c.control, planner.resume_at(m, p), p.hi, c.archive_byte_budget, c.archive_probe_sample)
-        if chunk is None:
-            continue
-        r = strategy(lake, m, p, *chunk)
-        if r.covered_hi > chunk[0]:
+    due = [p for p in m.attached if p.read_only and not planner.covered(m, p)]
+    if not due:
+        return 0
+    left = [replace(p, lo=planner.resume_at(m, p)) for p in due]
+    rows = scan.read(lake, m, due)
+    rows = planner.route(rows.withColumn("gridlake_bytes", planner.width_col(rows)), c.control, planner.parts_frame(lake.spark, left, c.grid), c.grid, name="gridlake_child")
+    large = {r["gridlake_child"] for r in rows.groupBy("gridlake_child").agg(F.sum("gridlake_bytes").alias("b")).where(F.col("b") > c.archive_byte_budget).collect()}  # a row for each partition at most
+
+    def one(p: Part):
+        lo = planner.resume_at(m, p)
+        chunk = (lo, p.hi) if p.child not in large and lo < p.hi else planner.next_chunk(scan.read(lake, m, [p]), c.grid, c.control, lo, p.hi, c.archive_byte_budget, c.archive_probe_sample)
+        return chunk, chunk and strategy(lake, m, p, *chunk)
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        results = list(pool.map(one, due))
+    for p, (chunk, r) in zip(due, results, strict=True):
+        if r and r.covered_hi > chunk[0]:
             m = replace(m, ledger=(*m.ledger, {"lo": chunk[0], "hi": r.covered_hi, "child": p.child, "key": r.key, "etag": r.etag, "rows": r.rows, "at": as_of}))
             m = m.logged("archive", as_of, lo=chunk[0], hi=r.covered_hi, rows=r.rows)
             done += 1

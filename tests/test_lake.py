@@ -289,3 +289,31 @@ def test_latest_and_percentiles(spark):
     assert {(r["k"], r["v"]) for r in changes.latest(e, ["k"], ["t"]).collect()} == {(1, "b"), (2, "c")}
     r = observe.percentiles(spark.range(1, 101).select(F.col("id").alias("x"), (F.col("id") % 2).alias("g")), "x", ["g"]).orderBy("g").collect()
     assert [(x["p50"], x["p95"], x["p99"], x["max"]) for x in r] == [(52, 96, 100, 100), (51, 95, 99, 99)]
+
+
+def test_writers_at_the_same_time(lake, spark):
+    """Of many writers of one version one wins, whatever the order of their steps."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    managed(lake, spark)
+    m = lake.manifest()
+
+    def publish(_):
+        try:
+            return lake.publish(m).version
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(v is not None for v in pool.map(publish, range(8))) == [False] * 7 + [True]
+    assert lake.manifest().version == m.version + 1 and not any(n.endswith(".tmp") for n in lake.store.names("_manifest"))
+
+
+def test_repeated_keys_and_own_names_are_refused(lake, spark):
+    managed(lake, spark)
+    with pytest.raises(Refused, match="same key"):
+        changes.apply_changes(lake, spark.createDataFrame([(5, "a"), (5, "b")], "id long, payload string"))
+    with pytest.raises(Refused, match="same key"):
+        changes.upsert(rows(spark, 3), rows(spark, 3).union(rows(spark, 1)), ["id"])
+    with pytest.raises(Refused, match="own"):
+        convert.manage(Lake(spark, f"{lake.root}2"), rows(spark, 3).withColumn("gridlake_tile", F.lit(1)), "t", "id", 10, NOW)
