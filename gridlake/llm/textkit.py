@@ -36,16 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i < n at least; kept for the process."""
+def _pow(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """base**i for i < 2**16 and base**(i * 2**16) for as many i: two small tables give any power up to 2**32, modulo 2**64."""
     have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+    if have is None:
         both = []
-        for b in (int(base), pow(int(base), -1, 1 << 64)):
-            p = np.empty(size, np.uint64)
+        for b in (int(base), pow(int(base), 1 << 16, 1 << 64)):
+            p = np.empty(1 << 16, np.uint64)
             p[0], filled, step = 1, 1, b
-            while filled < size:
+            while filled < len(p):
                 p[filled : 2 * filled] = p[:filled] * U64(step)
                 filled, step = 2 * filled, step * step % (1 << 64)
             both.append(p)
@@ -53,17 +52,24 @@ def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def _inverse(base: np.uint64) -> np.uint64:
+    return U64(pow(int(base), -1, 1 << 64))
+
+
 def prefix(values: np.ndarray, base: np.uint64) -> np.ndarray:
     """P with P[i] = sum of values[j] * base**j for j < i."""
+    low, high = _pow(base)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _pow(base, len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
+    for k in range(0, len(values), len(low)):
+        part = values[k : k + len(low)]
+        np.multiply(part, low[: len(part)] * high[k >> 16], out=out[k + 1 : k + 1 + len(part)])
+    return np.cumsum(out, out=out)
 
 
 def span_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
     """A hash of the content of each [start, end), the same wherever it stands."""
-    inv = _pow(base, len(pre))[1]
-    return mix((pre[ends] - pre[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    low, high = _pow(_inverse(base))
+    return mix((pre[ends] - pre[starts]) * low[starts & 0xFFFF] * high[starts >> 16] + (ends - starts).astype(np.uint64))
 
 
 class Texts:
