@@ -376,10 +376,44 @@ def test_skip_chain_adds_repeats_and_spares_the_rest(spark):
     last = rows[150]
     s = texts[150].index("3375553479 is")
     assert last["n_phone"] == 1 and last["spans"].split(",")[0] == f"phone:{5}:{17}"
-    assert last["n_added"] <= 1 and (last["n_added"] == 0 or f":{s}:{s + 10}" in last["spans"])
+    assert last["n_added"] == 1 and f"phone:{s}:{s + 10}" in last["spans"] and last["n_spans"] == 2
     assert "[PHONE]" in pii.redact(docs(spark, texts[:1])).first()["text"]
 
 
+def test_field_adds_secrets_and_numbers_written_otherwise(spark):
+    rng = random.Random(18)
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    numbers = lambda: f"+1 (337) 555-{rng.randint(1000, 9999)}"
+    texts = [f"{prose(rng, 20)} call {numbers()} or 4111 1111 1111 1111 in {rng.randint(1900, 2030)}" for _ in range(150)]
+    texts += [f'{prose(rng, 9)} token = "{secret}" {prose(rng, 300)} {secret} {prose(rng, 9)}']
+    texts += ["reach +14155550132 " + prose(rng, 200) + " or 415 555 0132 " * 30 + prose(rng, 9) + " in 1999 and 12 of 40"]
+    rows = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
+    assert all(rows[i]["n_added"] == 0 for i in range(150))
+    found = [(k, texts[i][int(a) : int(b)]) for i in (150, 151) for k, a, b in (x.split(":") for x in rows[i]["spans"].split(","))]
+    assert found[:2] == [("secret", secret)] * 2 and found[2] == ("phone", "+14155550132")
+    assert len(found) > 3 and all(k == "phone" and set(x.split(" ")) == {"415", "555", "0132"} for k, x in found[3:])
+
+
+def test_messages_against_all_labellings():
+    """On a tree message passing is exact: the beliefs are the marginals over all labellings."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    k = len(pii.LABELS)
+    field = pii.Field(rng.normal(0, 0.5, (pii.PLACES, k)), rng.normal(0, 1, (k, k)), np.eye(k) + (m := rng.normal(0, 1, (k, k))) + m.T)
+    for text in ("5551234567 and so 17 or 5551234567", "a1 b2 c3", "12x 13y and 14z"):
+        at, label, _ = pii._nodes(text, [])
+        skips = pii._skips([pii._form(text[s:e]) for s, e in at])
+        chain = [(i, i + 1) for i in range(len(at) - 1) if at[i + 1][0] - at[i][1] <= 3]
+        own = np.array([field.node[pii._features(text, s, e, hidden=True)].sum(axis=0) for s, e in at])
+        want = np.zeros((len(at), k))
+        for y in product(range(k), repeat=len(at)):
+            w = np.exp(sum(own[i, y[i]] for i in range(len(at))) + sum(field.chain[y[i], y[j]] for i, j in chain) + sum(field.skip[y[i], y[j]] for i, j in skips))
+            for i, v in enumerate(y):
+                want[i, v] += w
+        assert np.abs(field.beliefs(text, at, label) - want / want.sum(axis=1, keepdims=True)).max() < 0.01
+
+
 def junk(rng, kind):
     w = prose(rng, rng.randint(60, 200)).split()
     return [" ".join(x + "***" for x in w), " ".join(x.upper() + "!!" for x in w), " ".join(x for x in w[:8] for _ in range(17)), " | ".join(w)][kind % 4]
