@@ -15,11 +15,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the trees are fitted on at most, the longest of them in characters, and made-up pages.
+from .sample import sampled_texts
+
+#: Pages that the trees are fitted on, about; the longest of them in characters; and made-up pages.
 FIT_PAGES, FIT_CHARS, MADE_UP = 300, 60_000, 300
+#: Characters of pages that are looked at together.
+AT_ONCE = 1 << 21
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 SEED = 5
 
@@ -27,6 +32,7 @@ SEED = 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 HIDDEN = frozenset("script style head title noscript template iframe object svg math canvas select option button textarea xmp noembed noframes".split())
 #: Start tags that end an open p, and elements that end an open one of their own kind.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -76,7 +82,7 @@ def parse(source: str) -> Page:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 page.blocks.append((stack[-1][1], text, min(linked, len(text))))
             parts.clear()
@@ -102,8 +108,10 @@ def parse(source: str) -> Page:
     while at < size:
         lt = source.find("<", at)
         end = size if lt < 0 else lt
+        if hidden and stack[-1][0] == "head" and source[at:end].strip():
+            close({"head"})  # words never stand in it
         if end > at and not hidden:
-            parts.append(source[at:end])
+            parts.append(html.unescape(source[at:end]))  # a reference ends where its run of text does
             linked += (end - at) * (links > 0)
         if lt < 0:
             break
@@ -133,6 +141,8 @@ def parse(source: str) -> Page:
             continue
         if tag in ("html", "body") and len(stack) > 1 and any(t == tag for t, _ in stack):
             continue
+        if hidden and tag not in IN_HEAD and any(t == "head" for t, _ in stack):
+            close({"head"})
         if tag in INLINE:
             page.inline[stack[-1][1]] += 1
             if tag == "br":
@@ -146,8 +156,6 @@ def parse(source: str) -> Page:
             close({"p"}, SCOPES - {"p"})
         elif tag in ENDS_OWN:
             close(ENDS_OWN[tag], SCOPES - ENDS_OWN[tag])
-        if tag == "body":
-            close({"head"})
         if tag in VOID or tag == "html":
             continue
         if tag in RAW:
@@ -367,18 +375,23 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
 
     A null or empty page, and one without main text, gives the empty text. White space in a block becomes one space,
     character references are decoded, blocks are joined by a line feed. Repeated rows and null ids give a row each;
-    other columns are not read; an empty df gives no rows. The trees are fitted to the FIT_PAGES pages that come first
-    in hash order among those with a sectioning element, and to MADE_UP made-up ones.
+    other columns are not read; an empty df gives no rows. A page of any length is read whole, and is the most that a task needs at
+    once beyond AT_ONCE characters. The trees are fitted to about FIT_PAGES of the pages with a sectioning element, picked by hash,
+    and to MADE_UP made-up ones.
     """
     if model is None:
         body = F.col("html")
         some = df.select(F.col(html_col).alias("html")).where(F.length(body).between(1, FIT_CHARS) & body.rlike("(?i)<(article|main)[ >]"))
-        model = train([r["html"] for r in some.orderBy(F.xxhash64("html"), "html").limit(FIT_PAGES).collect()])
+        model = train(sampled_texts(some, "html", FIT_PAGES))
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
+            size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(2)), 0), np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                hi = min(lo + 200, max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + AT_ONCE, "right"))))
+                part = b.slice(lo, hi - lo)
+                lo = hi
                 pages = [parse(s or "") for s in part.column(2).to_pylist()]
                 x = [features(p) for p in pages]
                 raw = np.split(model.raw(np.concatenate(x)), np.cumsum([len(v) for v in x])[:-1])

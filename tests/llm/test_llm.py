@@ -535,6 +535,22 @@ def test_extraction_rules(spark):
     assert got[99]["text"] == got[98]["text"] == "" and got[99]["url"] is None
 
 
+def test_pages_without_a_body_and_references_across_tags():
+    words = lambda source: [t for _, t, _ in html_extraction.parse(source).blocks]
+    assert words("<html><head><title>x</title><p>Real text.<p>More") == ["Real text.", "More"]
+    assert words("<head><meta charset=u><title>x</title>Bare words <b>in bold</b>") == ["Bare words in bold"]
+    assert words("<head><style>p{}</style><script>x</script></head><body><p>&am<b>p;</b> &amp;lt; &#x41;&copy") == ["&amp; &lt; A\u00a9"]
+
+
+def test_sample_is_bounded_and_the_same(spark):
+    from gridlake.llm.sample import sampled_texts
+
+    df = spark.createDataFrame([(f"text {i % 900}",) for i in range(3000)], "t string")
+    some = sampled_texts(df, "t", 600)
+    assert some == sampled_texts(df.repartition(7), "t", 600) and 0 < len(some) < 400 and len(set(some)) == len(some)
+    assert len(sampled_texts(df, "t", 10**6)) == 900 and sampled_texts(df.limit(0), "t", 5) == []
+
+
 def test_decoding_is_consistent_and_best():
     rng = np.random.default_rng(0)
     for _ in range(60):
