@@ -5,7 +5,25 @@ from __future__ import annotations
 from . import decontamination, html_extraction, jaccard_join, lm_scoring, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_substring_dedup": r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM docs),
+windows AS (SELECT *, CASE WHEN i <= n - 34 THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS k FROM words),
+seen AS (SELECT *, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS again FROM windows),
+gone AS (SELECT r, word, i, coalesce(bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), false) AS out FROM seen),
+each AS (SELECT r, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT out) AS kept FROM gone GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN each USING (r)""",
+    "op8_ngram_jaccard_join": r"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT r, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM docs),
+runs AS (SELECT r, n, i, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS k FROM words),
+sets AS MATERIALIZED (SELECT DISTINCT r, k FROM runs WHERE i <= greatest(n - 4, 1)),
+sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM sets GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.k = b.k AND a.r < b.r GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM pairs JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM docs UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x)
+SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id FROM docs d JOIN reach ON reach.x = d.r JOIN docs e ON e.r = reach.y LEFT JOIN sizes s ON s.r = d.r GROUP BY d.r, d.doc_id""",
+}
 
 
 def query(f):
