@@ -33,10 +33,8 @@ WIDE, BITMAP_BYTES = 8, 4096
 LARGE = 16
 #: Members of a group, and features of their sets, that one task compares with the rest of the group.
 BLOCK, BLOCK_FEATURES = 2000, 2_000_000
-#: Rounds in which a member is compared with one other of its groups before whole groups are compared.
-PIVOTS = 1
 #: Words of bitmaps that are compared at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 
 
 def shingle_sets(t: tk.Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,15 +228,16 @@ def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + lo[place]
 
 
-def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> set[tuple[int, int, bool]]:
-    """What members in different components leave possible by their bitmaps; see _across(). Groups stand one after the other, the
-    left members of each before its right ones."""
+def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, nearest: bool) -> list[np.ndarray]:
+    """What members in different components leave possible by their bitmaps, as arrays u, v and whole; see _across(). Groups stand one
+    after the other, the left members of each before its right ones."""
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stop = np.append(edge[1:], len(group))
     words = np.array([len(x) for x in bits])
     least = np.minimum.reduceat(words, edge)
     lefts = np.add.reduceat(~right, edge)
-    out: set[tuple[int, int, bool]] = set()
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
+    best = np.full(len(group), np.iinfo(np.int64).max)  # of each member the least distance, and with whom
     for w in np.unique(least).tolist():
         own = np.flatnonzero(least == w)
         at, row = _ragged(edge[own], stop[own])
@@ -263,29 +262,40 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             i, j, x, y = i[look], j[look], x[look], y[look]
             look = _may(n[x], n[y], 0, percent)
             i, j, x, y = i[look], j[look], x[look], y[look]
-            look = _may(n[x], n[y], np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64), percent)
+            differ = np.bitwise_count(m[i] ^ m[j]).sum(axis=1, dtype=np.int64)
+            look = _may(n[x], n[y], differ, percent)
             x, y = x[look], y[look]
+            if nearest:
+                np.minimum.at(best, x, differ[look] << 32 | y)
+                np.minimum.at(best, y, differ[look] << 32 | x)
+                continue
             swap = (size[x] > size[y]) | (size[x] == size[y]) & (comp[x] > comp[y])
             x, y = np.where(swap, y, x), np.where(swap, x, y)  # y is in the larger component
             whole = size[y] >= LARGE
-            out.update(zip(key[x[whole]].tolist(), comp[y[whole]].tolist(), [True] * int(whole.sum()), strict=True))
-            u, v = key[x[~whole]], key[y[~whole]]
-            out.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), [False] * len(u), strict=True))
-    return out
-
-
-def _across(spread: DataFrame, percent: int) -> DataFrame:
+            u, v = key[x], np.where(whole, comp[y], key[y])
+            both = np.where(whole, u, np.minimum(u, v)), np.where(whole, v, np.maximum(u, v)), whole
+            at = np.unique(np.stack(both), axis=1, return_index=True)[1]
+            out.append([c[at] for c in both])
+    if nearest:
+        x = np.flatnonzero(best < np.iinfo(np.int64).max)
+        u, v = key[x], key[best[x] & 0xFFFFFFFF]
+        out.append([np.minimum(u, v), np.maximum(u, v), np.zeros(len(x), bool)])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Of members (sig, low, high, right, key, component, size, n, bits) of groups (sig, low, high): what a left and a right member,
     or two left ones where there is no right one, in different components leave possible by their bitmaps: (u, v, whole).
-    Two small components give the pair of members; a large one is named as a whole (v) for the other's member u."""
+    Two small components give the pair of members; a large one is named as a whole (v) for the other's member u. nearest: of each
+    member only the pair with the one that is nearest by bitmaps."""
     names = ["sig", "low", "high", "right", "key", "component", "size", "n", "bits"]
 
     def run(batches):
         def ready(table: pa.Table):
             sig, low, high, right, key, comp, size, n = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in names[:-1])
             new = np.append(True, (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-            rows = list(_possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["u", "v", "whole"])
+            rows = _possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent, nearest)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["u", "v", "whole"])
 
         held: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
         for batch in batches:
@@ -354,6 +364,17 @@ def _members(grouped: DataFrame, comp: DataFrame) -> DataFrame:
     return grouped.join(placed, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
+def _spread(grouped: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """What _across() takes: the members of groups that hold several components, dealt in blocks. Of groups of the same members one counts."""
+    member = _members(grouped, comp)
+    mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
+    mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    # each block of a group meets itself and every other block: (b, b) and (low, high)
+    spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "key", "component", "size").join(sets.select("key", "n", "bits"), "key")
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, th, n, key) of df, where th is the text's hash and equal sets share a key, null for the empty set; and of each class
     of equal sets (key, component, least_id, least_th): the class's component, and of its rows the one with the smallest id
@@ -387,31 +408,23 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     grouped = kept(signed.join(pivots, "sig"), "grouped")
     release(df.sparkSession)
     comp = df.sparkSession.createDataFrame([], "node long, component long")
-    for r in range(PIVOTS):
-        # of the other components in its groups, each member meets the one member that comes first
-        member = _members(grouped, comp)
-        first = F.struct("component", F.col("key").alias("u"))
-        ends = apart(member, "sig", F.min(first).alias("p"), F.max(first).alias("q")).where("p.component != q.component")
-        other = F.when(F.col("p.component") != F.col("component"), F.col("p")).otherwise(F.col("q"))
-        met = member.join(ends, "sig").groupBy("key").agg(F.min(other).alias("x")).select("x.u", F.col("key").alias("v"))
-        more = kept(_verified(met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent), f"met-{r}")
-        release(df.sparkSession)
+    # each member meets, of the members that come first in its groups, the one that it shares most groups with
+    first = apart(grouped, "sig", F.min("key").alias("u"))
+    met = grouped.join(first, "sig").where("u != key").groupBy("key", "u").agg(F.count("*").alias("shared"))
+    met = met.groupBy("key").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
+    more = kept(_verified(met, sets, percent), "met")
+    release(df.sparkSession)
+    for nearest in (True, False):
         comp = components(comp.toDF("u", "v").union(more))
         release(df.sparkSession)
-    member = _members(grouped, comp)
-    mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
-    mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    # each block of a group meets itself and every other block: (b, b) and (low, high)
-    spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "key", "component", "size").join(sets.select("key", "n", "bits"), "key")
-    doubtful = kept(_across(spread, percent), "doubtful")
-    release(df.sparkSession)
-    cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
-    more = kept(_verified(doubtful.where("not whole").select("u", "v"), sets, percent).union(_against_large(cells, comp, sets, percent)), "links")
-    release(df.sparkSession)
+        doubtful = kept(_across(_spread(grouped, comp, sets), percent, nearest), f"doubtful-{nearest}")
+        release(df.sparkSession)
+        cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
+        pairs = _verified(doubtful.where("not whole").select("u", "v"), sets, percent)
+        more = kept(pairs if nearest else pairs.union(_against_large(cells, comp, sets, percent)), f"links-{nearest}")
+        release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
-    for name in ("hopeful", "sets", "grouped", "doubtful", "links"):
+    for name in ("hopeful", "sets", "grouped", "met", "doubtful-True", "doubtful-False", "links-True", "links-False"):
         discard(df.sparkSession, f"{folder}/{name}")
 
     linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
@@ -432,9 +445,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
     others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
-    each class of equal sets; (3) PartEnum signatures; in each of PIVOTS rounds a member of signature groups is verified against one
-    member of another component, and components grow together; (4) groups that still hold several components are compared across them,
-    in blocks, and whoever may belong to a large component is compared with that component's members, in blocks too.
+    each class of equal sets; (3) PartEnum signatures; a member of signature groups is verified against the one it shares most
+    of them with, of those that come first in a group; (4) groups that hold several components are compared across them, in blocks, by bitmaps:
+    each member is verified against the nearest one, then, components having grown together, against all that are still possible;
+    whoever may belong to a large component is compared with that component's members, in blocks too.
     Class and shingle hashes have 64 bits.
     """
     keys, classes = _classes(df, id_col, text_col, ngram, percent)
