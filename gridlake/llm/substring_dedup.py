@@ -19,9 +19,20 @@ from . import textkit as tk
 from .graph import apart, cut, release
 
 WINDOW = 35
+#: Bits of a gram's hash that give way to its position; longer texts go in runs of so many grams.
 _POS = 24
 
 
+def _leftmost_least(grams: np.ndarray, n: int) -> np.ndarray:
+    """Where in every n neighbours the least hash stands, by its upper bits; the leftmost of equal ones."""
+    run, out = (1 << _POS) - n + 1, []
+    for a in range(0, max(len(grams) - n + 1, 1), run):
+        part = grams[a : a + run + n - 1]
+        packed = (part >> tk.U64(_POS) << tk.U64(_POS)) | np.arange(len(part), dtype=np.uint64)
+        out.append((_sliding_min(packed, n) & tk.U64((1 << _POS) - 1)).astype(np.int64) + a)
+    return np.concatenate(out)
+
+
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Of every n neighbours the least."""
     m, have = x, 1
@@ -41,12 +52,8 @@ class Anchors:
         if not len(self.at):
             self.anchor, self.back = self.at, np.zeros(0, bool)
             return
-        if len(self.words) >> _POS:
-            raise ValueError(f"a text of over {1 << _POS} words")
         self.grams = tk.span_hash(tk.prefix(self.words, tk._STEP), np.arange(len(self.words) - quarter + 1), np.arange(quarter, len(self.words) + 1), tk._STEP)
-        packed = (self.grams >> tk.U64(_POS) << tk.U64(_POS)) | np.arange(len(self.grams), dtype=np.uint64)
-        least = _sliding_min(packed, target - quarter + 1)
-        self.anchor = (least[self.at] & tk.U64((1 << _POS) - 1)).astype(np.int64)
+        self.anchor = _leftmost_least(self.grams, target - quarter + 1)[self.at]
         self.back = self.anchor - self.at > target - half
 
     def halves(self, anchor: np.ndarray, back: np.ndarray) -> np.ndarray:
@@ -128,21 +135,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each word goes that lies in a window of ``target`` words whose words also start anywhere else in df, the same
     row included. A null or empty text has no words. Rows that repeat, ids and all, count as several places; null
-    ids are allowed; other columns of df are not read; no rows give no rows. Windows and rows are told apart by
+    ids are allowed; other columns of df are not read; no rows give no rows; a text of any length is read whole, by one task. Windows and rows are told apart by
     64-bit hashes. Hot windows are counted with partial aggregation and joined by joins that Spark can split.
     """
     if target < 4:
         raise ValueError("the target needs four words or more")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    copies = docs.groupBy("th").agg((F.count("*") > 1).alias("copied"))
+    copies = apart(docs.select("th"), "th", (F.count("*") > 1).alias("copied"))
     level1 = cut(_elsewhere(_spots(docs, target), "short").select("ahead", "back", "th", "word"))
     release(df.sparkSession)
     sides = F.explode(F.array(F.struct(F.col("ahead").alias("long"), (F.col("word") * 2).alias("spot")), F.struct(F.col("back").alias("long"), (F.col("word") * 2 + 1).alias("spot"))))
     halves = level1.select("th", sides.alias("x")).select("x.long", "th", "x.spot").where("long is not null")
-    level2 = cut(_elsewhere(halves, "long").groupBy("th").agg(F.collect_set("spot").alias("spots")))
+    level2 = apart(cut(_elsewhere(halves, "long")), "th", F.collect_set("spot").alias("spots"))
     # a text with copies is repeated throughout: its windows count for others, its own words need no list
     every = docs.join(copies, "th")
     left = _windows(every.where("not copied").join(level2, "th").select("id", "text", "th", "spots"), target)
     both = _windows(every.join(level2, "th").select("id", "text", "th", "spots"), target)
-    removed = _elsewhere(left, "h", both).groupBy("th").agg(F.collect_set("word").alias("at"))
+    removed = apart(_elsewhere(left, "h", both), "th", F.collect_set("word").alias("at"))
     return _cleaned(every.join(removed, "th", "left").select("id", "text", "th", "at", "copied"), target).withColumnRenamed("id", id_col)
