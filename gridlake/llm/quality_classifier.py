@@ -140,12 +140,16 @@ def remainder(id_col: str, of: int):
 
 def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: str, label_col: str) -> Model:
     """The model, from labels of rows that are not held_out. Of the labelled and of all such rows, the first in hash
-    order are taken, up to LABELLED and UNLABELLED: sets of ids of a fixed size, which is what is broadcast."""
+    order are taken, up to LABELLED and UNLABELLED: sets of ids of a fixed size, which is what is broadcast. Of several labels of an
+    id the least counts, of several rows with an id the one with the least figures."""
     first = lambda d, n: d.where(~held_out & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col, F.lit(SEED)), id_col).limit(n)
-    known = first(labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates([id_col]), LABELLED)
-    loose = first(df.select(id_col), UNLABELLED).distinct().join(known.select(id_col), id_col, "left_anti").withColumn("label", F.lit(-1))
+    known = first(labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy(id_col).agg(F.min("label").alias("label")), LABELLED)
+    loose = first(df.select(id_col).distinct(), UNLABELLED).join(known.select(id_col), id_col, "left_anti").withColumn("label", F.lit(-1))
     docs = df.select(F.col(id_col), F.col(text_col).alias("text"))
-    rows = _figured(docs.join(F.broadcast(known.union(loose)), id_col).select("label", "text"), "label", "int").toArrow()
+    ids = known.union(loose)
+    kind = df.schema[id_col].dataType.simpleString()
+    one = _figured(docs.join(F.broadcast(ids.select(id_col)), id_col).select(F.col(id_col).alias("id"), "text"), "id", kind).groupBy("id").agg(F.min("x").alias("x"))
+    rows = one.join(F.broadcast(ids.withColumnRenamed(id_col, "id")), "id").select("label", "x").toArrow()
     label = np.asarray(rows.column("label").combine_chunks())
     x = np.array(rows.column("x").to_pylist()).reshape(len(label), len(FIGURES))
     order = np.lexsort((*x.T[::-1], label))  # the same rows in the same order, however they arrived
