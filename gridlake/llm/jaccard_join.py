@@ -357,21 +357,16 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
     return rows.select("component", "block", "probe", "member", "key", "items").groupBy("component", "block", "probe").applyInArrow(run, "u long, v long")
 
 
-def _members(grouped: DataFrame, comp: DataFrame) -> DataFrame:
-    """(sig, key, component, size) of the members of groups; who has no component yet is one of size 1."""
+def _spread(grouped: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """What _across() takes: the members (sig, blocks, key) of groups that hold several components, dealt in blocks. Who has no
+    component yet is one of size 1."""
     sizes = apart(comp, "component", F.count("*").alias("size"))
     placed = comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
-    return grouped.join(placed, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-
-
-def _spread(grouped: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
-    """What _across() takes: the members of groups that hold several components, dealt in blocks. Of groups of the same members one counts."""
-    member = _members(grouped, comp)
-    mixed = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("print")).where("p != q")
-    mixed = mixed.groupBy("m", "print").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    member = grouped.join(placed, "key", "left").select("sig", "blocks", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = apart(member, "sig", F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("sig")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # each block of a group meets itself and every other block: (b, b) and (low, high)
-    spread = member.join(mixed, "sig").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = member.join(mixed, "sig", "left_semi").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return spread.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("right"), "key", "component", "size").join(sets.select("key", "n", "bits"), "key")
 
 
@@ -404,19 +399,16 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     release(df.sparkSession)
 
     signed = _signed(sets)
-    pivots = apart(signed, "sig", F.min("key").alias("u"), F.max("key").alias("last")).where("u != last").select("sig")
-    grouped = kept(signed.join(pivots, "sig"), "grouped")
+    # of groups of the same members one is enough: their number, ends and two sums of hashes tell them apart
+    same = [F.count("*").alias("m"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
+    groups = signed.groupBy("sig").agg(*same).where("first != last").groupBy("m", "first", "last", "x", "y").agg(F.min("sig").alias("sig"))
+    groups = kept(groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "groups")
+    grouped = kept(signed.join(groups, "sig"), "grouped")
     release(df.sparkSession)
     comp = df.sparkSession.createDataFrame([], "node long, component long")
-    # each member meets, of the members that come first in its groups, the one that it shares most groups with
-    first = apart(grouped, "sig", F.min("key").alias("u"))
-    met = grouped.join(first, "sig").where("u != key").groupBy("key", "u").agg(F.count("*").alias("shared"))
-    met = met.groupBy("key").agg(F.max_by("u", F.struct("shared", "u")).alias("u")).select(F.least("u", "key").alias("u"), F.greatest("u", "key").alias("v")).distinct()
-    more = kept(_verified(met, sets, percent), "met")
-    release(df.sparkSession)
+    more = comp.toDF("u", "v")
     for nearest in (True, False):
-        comp = components(comp.toDF("u", "v").union(more))
-        release(df.sparkSession)
+        comp = comp if nearest else components(more)
         doubtful = kept(_across(_spread(grouped, comp, sets), percent, nearest), f"doubtful-{nearest}")
         release(df.sparkSession)
         cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
@@ -424,7 +416,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
         more = kept(pairs if nearest else pairs.union(_against_large(cells, comp, sets, percent)), f"links-{nearest}")
         release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
-    for name in ("hopeful", "sets", "grouped", "met", "doubtful-True", "doubtful-False", "links-True", "links-False"):
+    for name in ("hopeful", "sets", "groups", "grouped", "doubtful-True", "doubtful-False", "links-True", "links-False"):
         discard(df.sparkSession, f"{folder}/{name}")
 
     linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
@@ -445,10 +437,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
     others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
-    each class of equal sets; (3) PartEnum signatures; a member of signature groups is verified against the one it shares most
-    of them with, of those that come first in a group; (4) groups that hold several components are compared across them, in blocks, by bitmaps:
-    each member is verified against the nearest one, then, components having grown together, against all that are still possible;
-    whoever may belong to a large component is compared with that component's members, in blocks too.
+    each class of equal sets; (3) PartEnum signatures group the sets; (4) members of a group are compared by bitmaps, in
+    blocks, and each is verified against the nearest one; (5) groups that still hold several components are compared across them, and
+    all pairs are verified that are still possible; whoever may belong to a large component is compared with that component's members, in blocks too.
     Class and shingle hashes have 64 bits.
     """
     keys, classes = _classes(df, id_col, text_col, ngram, percent)
