@@ -146,23 +146,24 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
     return df.mapInArrow(run, "key long, n long, items binary, bits binary")
 
 
-#: Bits of the filter that thins out texts before they are moved: a fixed size, whatever the input.
+#: Bits of the filter that thins out rows before they are moved: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 
 
-def _thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of (id, th, text) whose th may be in wanted: none of those is lost, and a join sorts out the rest."""
-    word = F.pmod("th", F.lit(FILTER_BITS))
-    rows = wanted.select(F.floor(word / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(pmod(th, {FILTER_BITS}), 64) as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+def _thinned(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose LONG column may be among the one column of wanted: none of those is lost, and a join sorts out the rest."""
+    place, at = F.pmod(F.col(wanted.columns[0]), F.lit(FILTER_BITS)), rows.columns.index(column)
+    words = wanted.select(F.floor(place / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(pmod(`{wanted.columns[0]}`, {FILTER_BITS}), 64) as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[np.asarray(rows.column("at").combine_chunks())] = np.asarray(rows.column("bits").combine_chunks())
+    bits[np.asarray(found.column("at").combine_chunks())] = np.asarray(found.column("bits").combine_chunks())
 
     def run(batches):
         for b in batches:
-            at = np.asarray(b.column(1)) % FILTER_BITS
-            yield b.filter(pa.array((bits[at // 64] >> (at % 64)) & 1 == 1))
+            x = np.asarray(b.column(at)) % FILTER_BITS
+            yield b.filter(pa.array((bits[x // 64] >> (x % 64)) & 1 == 1))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -202,23 +203,16 @@ def _may(n1, n2, differ, percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar: first by their bitmaps, then on the whole sets."""
-
-    def sift(batches):
-        for b in batches:
-            n1, n2 = np.asarray(b.column(2)), np.asarray(b.column(3))
-            differ = np.array([int(np.bitwise_count(f[0] ^ f[1]).sum()) for f in (_folded([x.as_buffer(), y.as_buffer()]) for x, y in zip(b.column(4), b.column(5), strict=True))], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(_may(n1, n2, differ, percent), pa.bool_()))
+    """The pairs (u, v), a written table, whose whole sets are similar. Only sets that are in a pair are moved."""
 
     def run(batches):
         for b in batches:
             ok = [similar(_set(x), _set(y), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    one, two = (sets.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}")) for k in "uv")
-    near = pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(sift, "u long, v long")
-    one, two = (sets.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return near.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    items = _thinned(sets.select("key", "items"), "key", pairs.select("u").union(pairs.select("v")))
+    one, two = (items.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,7 +387,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     hopeful = kept(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"), "hopeful")
     release(df.sparkSession)
     wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
-    found = _thinned(docs, hopeful).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
+    found = _thinned(docs, "th", hopeful.select("th")).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
     alone, often = (_sets(found.where(c).select("key", "text"), ngram) for c in ("rows = 1", "rows > 1"))
     sets = kept(alone.union(often.dropDuplicates(["key"])), "sets")
     release(df.sparkSession)
