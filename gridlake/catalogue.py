@@ -744,3 +744,17 @@ def q79_zipped_unnest(spark, sf):
     parts = F.split("n_name", "A")
     both = predicates.zipped(part=parts, pos=F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1))
     return table(spark, sf, "nation").select("n_nationkey", F.inline(both).alias("part", "pos"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 90 = 7 THEN 'changed' ELSE event_type END AS event_type FROM events WHERE event_id % 90 <> 8""")
+def q80_split_in_batches(spark, sf):
+    lake, e = events_lake(spark, sf), table(spark, sf, "events")
+    r = e.agg(F.max("event_id").alias("top"), F.count("*").alias("n")).first()
+    convert.configure(lake, regrain_batch=max(1, r["n"] // 3))
+    child, said, changed = lake.manifest().attached[0].child, "", False
+    while not said.startswith("swapped"):
+        said = regrain.regrain_step(lake, child, AS_OF, 100 if r["n"] < 5000 else 500, r["top"] + 5000)
+        if said.startswith("copied") and not changed:  # while some tiles are copied and others are not
+            changed = True
+            changes.apply_changes(lake, e.where("event_id % 90 = 7").withColumn("event_type", F.lit("changed")), e.where("event_id % 90 = 8").select("event_id"))
+    return scan.table(lake).select("event_id", "event_type")

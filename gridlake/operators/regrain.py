@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ def tiled(df: DataFrame, control: str, grid: Grid, lo, hi) -> DataFrame:
 def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=None) -> str:
     """One step of a split; its status: nokey, active, nosubdiv, prepared, copied:N, reconciled:N or swapped:K.
 
-    prepared: the tiles are planned. copied: all rows of the source are written, tile by tile, in one job.
-    reconciled: keys changed since then are taken from the source as it is now. swapped: the tiles replace the source.
+    prepared: the tiles are planned. copied: the next tiles of the source are written in one job, all of them, or as many as hold
+    the regrain_batch rows that are configured (one at least); a split that breaks off goes on with the tile after them.
+    reconciled: the tiles that hold keys changed since then are written anew, with those keys as the source has them now.
+    swapped: the tiles replace the source.
     """
     m = lake.manifest()
     p, grid = m.part(child), _grid(m, step)
@@ -50,34 +53,57 @@ def regrain_step(lake: Lake, child: str, as_of: dt.datetime, step=None, front=No
         cells = planner.tiles(grid, p.lo, p.hi, boundary, m.config.archive is not None)
         if len(list(grid.cells(p.lo, p.hi))) < 2:
             return "nosubdiv"
-        lake.publish(replace(m, staging={"child": child, "tiles": tuple(cells), "folder": None, "rows": 0}, delta=()))
+        lake.publish(replace(m, staging={"child": child, "tiles": tuple(cells), "copied": 0, "held": (), "rows": 0}, delta=()))
         return "prepared"
     s = m.staging
-    if not s["tiles"]:
-        return _swap(lake, m, p, {}, as_of)
-    lo, hi = s["tiles"][0][0], s["tiles"][-1][1]
-    if s["folder"] is None:
-        folder = lake.folder()
-        rows = tiled(scan.read(lake, m, [p]), m.config.control, grid, lo, hi)
-        rows.repartitionByRange(m.config.control).sortWithinPartitions(m.config.control).write.partitionBy(TILE).parquet(f"{lake.root}/{folder}")
-        held = any(x.startswith(f"{TILE}=") for x in lake.store.names(folder))
-        n = lake.spark.read.parquet(f"{lake.root}/{folder}").count() if held else 0
-        lake.publish(replace(m, staging=s | {"folder": folder, "rows": n}))
-        return f"copied:{n}"
+    if s["copied"] < len(s["tiles"]):
+        return _copy(lake, m, p, grid)
     if m.delta:
-        keys = lake.spark.read.parquet(*(f"{lake.root}/{d}" for d in m.delta)).distinct()
-        source = tiled(scan.read(lake, m, [p]), m.config.control, grid, lo, hi)
-        staged = tiled(_staged(lake, m, s), m.config.control, grid, lo, hi)
-        folder = lake.folder()
-        reconcile(staged, source, keys, list(m.config.key)).repartitionByRange(m.config.control).write.partitionBy(TILE).parquet(f"{lake.root}/{folder}")
-        n = keys.count()
-        lake.publish(replace(m, staging=s | {"folder": folder}, delta=()))
-        return f"reconciled:{n}"
-    return _swap(lake, m, p, _tile_folders(lake, s["folder"], grid), as_of)
+        return _reconciled(lake, m, p, grid)
+    return _swap(lake, m, p, dict(s["held"]), as_of)
+
+
+def _written(lake: Lake, rows: DataFrame, control: str, grid: Grid) -> tuple:
+    """((lower bound, folder), ...) of tiled rows, one folder a tile that has any."""
+    folder = lake.folder()
+    rows.repartitionByRange(control).sortWithinPartitions(control).write.partitionBy(TILE).parquet(f"{lake.root}/{folder}")
+    return tuple(_tile_folders(lake, folder, grid).items())
+
 
+def _staged(lake: Lake, m: Manifest) -> DataFrame:
+    files = [f"{lake.root}/{f}" for _, f in m.staging["held"]]
+    return lake.spark.read.schema(lake.schema(m)).parquet(*files) if files else lake.spark.createDataFrame([], lake.schema(m))
 
-def _staged(lake: Lake, m: Manifest, s: dict) -> DataFrame:
-    return lake.spark.read.schema(lake.schema(m)).parquet(f"{lake.root}/{s['folder']}")
+
+def _copy(lake: Lake, m: Manifest, p: Part, grid: Grid) -> str:
+    s, control, batch = m.staging, m.config.control, m.config.regrain_batch
+    rest = s["tiles"][s["copied"] :]
+    rows = tiled(scan.read(lake, m, [p]), control, grid, rest[0][0], rest[-1][1])
+    if batch is not None:
+        sizes = {r[TILE]: r["n"] for r in rows.groupBy(TILE).agg(F.count("*").alias("n")).collect()}  # a row for each tile
+        total = list(accumulate(sizes.get(lo, 0) for lo, _ in rest))
+        rest = rest[: next((k for k, n in enumerate(total) if n >= batch), len(rest)) + 1]
+        rows = rows.where(grid.within_col(F.col(control), rest[0][0], rest[-1][1]))
+    held = _written(lake, rows, control, grid)
+    n = lake.spark.read.parquet(*(f"{lake.root}/{f}" for _, f in held)).count() if held else 0
+    lake.publish(replace(m, staging=s | {"copied": s["copied"] + len(rest), "held": (*s["held"], *held), "rows": s["rows"] + n}))
+    return f"copied:{n}"
+
+
+def _reconciled(lake: Lake, m: Manifest, p: Part, grid: Grid) -> str:
+    s, c, key = m.staging, m.config, list(m.config.key)
+    lo, hi = s["tiles"][0][0], s["tiles"][-1][1]
+    keys = lake.spark.read.parquet(*(f"{lake.root}/{d}" for d in m.delta)).distinct()
+    source, staged = (tiled(df, c.control, grid, lo, hi) for df in (scan.read(lake, m, [p]), _staged(lake, m)))
+    touched = source.join(keys, key, "left_semi").select(TILE).union(staged.join(keys, key, "left_semi").select(TILE)).distinct()
+    tiles = {r[TILE] for r in touched.collect()}  # a row for each tile
+    if tiles:
+        some = F.col(TILE).isin([literal(x) for x in sorted(tiles)])
+        anew = _written(lake, reconcile(staged.where(some), source.where(some), keys, key), c.control, grid)
+        s = s | {"held": (*(x for x in s["held"] if x[0] not in tiles), *anew)}
+    n = keys.count()
+    lake.publish(replace(m, staging=s, delta=()))
+    return f"reconciled:{n}"
 
 
 def _tile_folders(lake: Lake, folder: str, grid: Grid) -> dict:
@@ -125,7 +151,7 @@ def cancel(lake: Lake) -> int:
     m = lake.manifest()
     if m.staging is None:
         return 0
-    folders = [f for f in (m.staging["folder"], *m.delta) if f]
+    folders = sorted({f.rsplit("/", 1)[0] for _, f in m.staging["held"]} | set(m.delta))
     lake.publish(replace(m, staging=None, delta=()))
     for f in folders:
         lake.store.delete(f)

@@ -56,7 +56,8 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class Config:
-    """How a table is managed. retain: an amount of the key (int) or of time (Step); None keeps everything."""
+    """How a table is managed. retain: an amount of the key (int) or of time (Step); None keeps everything.
+    regrain_batch: rows that a step of a split copies, rounded up to whole tiles; None copies all of them in one."""
 
     table: str
     control: str
@@ -65,7 +66,7 @@ class Config:
     obtain: int = 30
     retain: object = None
     retain_batch: int | None = None
-    regrain_batch: int = 5000
+    regrain_batch: int | None = None
     regrain_to: object = None
     archive: str | None = None
     archive_byte_budget: int = 8 << 20
