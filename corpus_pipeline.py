@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import decontamination, jaccard_join, packing, pii, quality_rules
-from gridlake.llm.graph import shared_folder
+from gridlake.llm.graph import discard, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left after all stages. Each stage's table goes once the next one is written, so that the
+    corpus stands there twice at most. Null and empty texts fail the rules; repeated rows count as copies; no documents give no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}")
         docs = spark.read.parquet(f"{top}/{k}")
+        if k:
+            discard(spark, f"{top}/{k - 1}")
     return docs
 
 
