@@ -381,8 +381,9 @@ def q34_percentiles(spark, sf):
 
 @query(f"SELECT bin, n, {_rank(0.5)} AS p50, {_rank(0.95)} AS p95 FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS bin, list(value ORDER BY value) AS l, count(value) AS n FROM events GROUP BY 1)")
 def q35_binned_percentiles(spark, sf):
-    e = table(spark, sf, "events").groupBy(Grid("time", Step.of(days=1)).floor_col(F.col("ts")).alias("bin"))
-    return e.agg(F.count("value").alias("n"), observe.nearest_rank("value", 0.5).alias("p50"), observe.nearest_rank("value", 0.95).alias("p95"))
+    e = table(spark, sf, "events").select(Grid("time", Step.of(days=1)).floor_col(F.col("ts")).alias("bin"), "value")
+    n = e.groupBy("bin").agg(F.count("value").alias("n"))
+    return n.join(observe.percentiles(e, "value", ["bin"], (0.5, 0.95)).drop("max"), "bin", "left")
 
 
 # ---- changes and migration ------------------------------------------------------------------------------------------

@@ -38,7 +38,7 @@ def check_time_monotonic(df: DataFrame, id_col: str, time_col: str, sample: int
         before = F.lag("t").over(Window.orderBy("i"))
         pairs = rows.withColumn("p", before)
     else:
-        parts = rows.repartitionByRange("i").withColumn("part", F.spark_partition_id())
+        parts = ranged(rows, "i")
         w = Window.partitionBy("part").orderBy("i")
         inner = parts.withColumn("p", F.lag("t").over(w)).withColumn("k", F.row_number().over(w))
         ends = parts.groupBy("part").agg(F.max_by("t", "i").alias("last"))  # a row for each range
@@ -87,6 +87,13 @@ def impact_report(lake: Lake, since: dt.timedelta, as_of: dt.datetime, latency:
     return f"{w['parent_table']}: {w['log_rows']} actions, {w['rows_copied']} rows copied, {w['regrains']} splits, {w['retains']} drops; latency ms p50 {p['p50']} p95 {p['p95']} p99 {p['p99']} max {p['max']}"
 
 
+def ranged(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by range, with the number of its range in ``part``. Written once where the session has a checkpoint folder: whatever
+    reads it several times must see the same ranges, also after an executor is lost."""
+    parts = df.repartitionByRange(*by).withColumn("part", F.spark_partition_id())
+    return parts.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else parts
+
+
 def nearest_rank(c: str, p: float) -> Column:
     """The element at floor(p * n) of the sorted values, or the last: no interpolation. For groups that fit in memory."""
     a = F.sort_array(F.collect_list(c))
@@ -99,7 +106,7 @@ def percentiles(df: DataFrame, column: str, by: list[str] | None = None, at: tup
     The running count goes by range of values: each range's total first, then the place within the range."""
     by = by or []
     values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("c"))
-    parts = values.repartitionByRange(*by, column).withColumn("part", F.spark_partition_id())
+    parts = ranged(values, *by, column)
     totals = parts.groupBy(*by, "part").agg(F.sum("c").alias("c"))  # a row for each range and group
     w = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(*by)).alias("n"))
