@@ -173,6 +173,7 @@ def _signed(sets: DataFrame) -> DataFrame:
             for i in range(0, len(keys), 256):
                 sign = [signatures(_set(x)) for x in b.column(1).slice(i, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sign).view(np.int64)), pa.array(np.repeat(keys[i : i + 256], [len(x) for x in sign]))], ["sig", "key"])
+            tk.trim()
 
     return sets.select("key", "items").mapInArrow(run, "sig long, key long")
 
@@ -209,6 +210,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = [similar(_set(x), _set(y), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            tk.trim()
 
     items = _thinned(sets.select("key", "items"), "key", pairs.select("u").union(pairs.select("v")))
     one, two = (items.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
@@ -304,6 +306,7 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 elif len(ends):
                     yield ready(pa.Table.from_batches([b.slice(0, ends[-1])]))
                 held.append(b.slice(ends[-1] if len(ends) else 0))
+            tk.trim()
         if held:
             yield ready(pa.Table.from_batches(held))
 

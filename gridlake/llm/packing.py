@@ -23,7 +23,7 @@ CAPACITY = 1024
 END = 2
 #: Patterns given to the least-squares fit at most; the commonest lengths come first.
 PATTERNS = 600
-#: Pre-tokens whose ids a worker keeps.
+#: Pre-tokens whose ids a task keeps.
 KEPT = 1 << 20
 
 _L, _N, _O, _S, _X = range(5)
@@ -138,16 +138,6 @@ class Encoder:
         return [self._slow(data[off[i] : off[i + 1]].tobytes().decode()) if special[i] else flat[edge[i] : edge[i + 1]] for i in range(n)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's own, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: one, or the last ones full and the first perhaps shorter."""
     head = n if n <= capacity else n % capacity or capacity
@@ -255,7 +245,8 @@ def slots(chosen: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 def _pieces(df: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     def run(batches):
-        enc, part, seen = encoder(path), TaskContext.get().partitionId(), Counter()
+        # a task's own: kept in a worker, it would take its 70 MB from whatever runs there next
+        enc, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(1), chunk=1 << 19):
                 row, piece, start, length, crc, rank = [], [], [], [], [], []
@@ -272,6 +263,8 @@ def _pieces(df: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
                 ints = [pa.array(x, pa.int64()) for x in (start, length, crc, rank)]
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *ints, pa.array(np.full(len(row), part), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", "rank", "part"])
+        del enc
+        tk.trim()
 
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, rank long, part long")
 

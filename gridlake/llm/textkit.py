@@ -6,6 +6,7 @@ of about ``CHUNK`` bytes, so memory stays bounded however long a batch is. A sin
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,16 @@ LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that is free back to the system. Workers live on from task to task, and would each keep the most they ever had."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection that spreads every input bit."""
     x = x ^ (x >> U64(33))
@@ -162,3 +173,4 @@ def texts_of(column: pa.Array, lower: bool = False, chunk: int = CHUNK) -> Itera
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + chunk, "right")) - 1)
         yield lo, hi, Texts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lower)
         lo = hi
+    trim()
