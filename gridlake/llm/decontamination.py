@@ -188,7 +188,7 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     cols = [ids, pa.array([index.items[i][0] for _, i, _, _ in hits], kind), *(pa.array(x, pa.int64()) for x in ([h[2] for h in hits], [h[3] for h in hits], [len(index.items[h[1]][1]) for h in hits]))]
                     yield pa.RecordBatch.from_arrays(cols, ["id", "item", "word", "edits", "item_words"])
 
-        one = docs.mapInArrow(run, f"id {doc}, item {item}, word long, edits long, item_words long")
+        one = docs.mapInArrow(tk.lean(run), f"id {doc}, item {item}, word long, edits long, item_words long")
         out = one if out is None else out.unionAll(one)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "word", "edits", "item_words")
 
@@ -206,5 +206,5 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
                     keep[hit] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, df.schema)
+        out = out.mapInArrow(tk.lean(run), df.schema)
     return out

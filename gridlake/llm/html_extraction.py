@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .sample import sampled_texts
-from .textkit import trim
 
 #: Pages that the trees are fitted on, about; the longest of them in characters; and made-up pages.
 FIT_PAGES, FIT_CHARS, MADE_UP = 300, 60_000, 300
@@ -401,8 +401,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     keep = decode(page.parent, r) if page.blocks else []
                     texts.append("\n".join(t for v, t, _ in page.blocks if keep[v]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
-            trim()
+            tk.trim()
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return out.mapInArrow(run, f"id {kind}, url string, text string, n_chars long").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    return out.mapInArrow(tk.lean(run), f"id {kind}, url string, text string, n_chars long").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

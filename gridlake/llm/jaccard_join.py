@@ -126,7 +126,7 @@ def _keys(df: DataFrame, ngram: int) -> DataFrame:
                 sample = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(h[keep].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, mask=n == 0), sample], ["id", "th", "n", "key", "sample"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, th long, n long, key long, sample array<long>")
+    return df.mapInArrow(tk.lean(run), f"id {df.schema['id'].dataType.simpleString()}, th long, n long, key long, sample array<long>")
 
 
 def _sets(df: DataFrame, ngram: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(df: DataFrame, ngram: int) -> DataFrame:
                 items = [h[edge[i] : edge[i + 1]].tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([want.take(pa.array(keep)), pa.array(n[keep], pa.int64()), pa.array(items, pa.binary()), pa.array([parity(np.frombuffer(x, np.uint64)) for x in items], pa.binary())], ["key", "n", "items", "bits"])
 
-    return df.mapInArrow(run, "key long, n long, items binary, bits binary")
+    return df.mapInArrow(tk.lean(run), "key long, n long, items binary, bits binary")
 
 
 #: Bits of the filter that thins out rows before they are moved: a fixed size, whatever the input.
@@ -163,7 +163,7 @@ def _thinned(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             x = np.asarray(b.column(at)) % FILTER_BITS
             yield b.filter(pa.array((bits[x // 64] >> (x % 64)) & 1 == 1))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tk.lean(run), rows.schema)
 
 
 def _signed(sets: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _signed(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sign).view(np.int64)), pa.array(np.repeat(keys[i : i + 256], [len(x) for x in sign]))], ["sig", "key"])
             tk.trim()
 
-    return sets.select("key", "items").mapInArrow(run, "sig long, key long")
+    return sets.select("key", "items").mapInArrow(tk.lean(run), "sig long, key long")
 
 
 def _set(x: pa.Scalar) -> np.ndarray:
@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     items = _thinned(sets.select("key", "items"), "key", pairs.select("u").union(pairs.select("v")))
     one, two = (items.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(tk.lean(run), "u long, v long")
 
 
 def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +225,7 @@ def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, nearest: bool) -> list[np.ndarray]:
-    """What members in different components leave possible by their bitmaps, as arrays u, v and whole; see _across(). Groups stand one
+    """What members in different components leave possible by their bitmaps, as arrays u, v and whole, or differ where nearest; see _across(). Groups stand one
     after the other, the left members of each before its right ones."""
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stop = np.append(edge[1:], len(group))
@@ -233,7 +233,8 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
     least = np.minimum.reduceat(words, edge)
     lefts = np.add.reduceat(~right, edge)
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
-    best = np.full(len(group), np.iinfo(np.int64).max)  # of each member the least distance, and with whom
+    none = np.iinfo(np.int64).max
+    best, least_key = np.full(len(group), none), np.full(len(group), none)  # of each member the least distance, and with whom; the least key
     for w in np.unique(least).tolist():
         own = np.flatnonzero(least == w)
         at, row = _ragged(edge[own], stop[own])
@@ -264,6 +265,8 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             if nearest:
                 np.minimum.at(best, x, differ[look] << 32 | y)
                 np.minimum.at(best, y, differ[look] << 32 | x)
+                np.minimum.at(least_key, x, key[y])
+                np.minimum.at(least_key, y, key[x])
                 continue
             swap = (size[x] > size[y]) | (size[x] == size[y]) & (comp[x] > comp[y])
             x, y = np.where(swap, y, x), np.where(swap, x, y)  # y is in the larger component
@@ -273,9 +276,9 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             at = np.unique(np.stack(both), axis=1, return_index=True)[1]
             out.append([c[at] for c in both])
     if nearest:
-        x = np.flatnonzero(best < np.iinfo(np.int64).max)
-        u, v = key[x], key[best[x] & 0xFFFFFFFF]
-        out.append([np.minimum(u, v), np.maximum(u, v), np.zeros(len(x), bool)])
+        x = np.flatnonzero(best < none)
+        far = np.full(len(x), none)
+        return [np.concatenate([key[x], key[x]]), np.concatenate([key[best[x] & 0xFFFFFFFF], least_key[x]]), np.concatenate([best[x] >> 32, far])]
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
@@ -283,7 +286,8 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Of members (sig, low, high, right, key, component, size, n, bits) of groups (sig, low, high): what a left and a right member,
     or two left ones where there is no right one, in different components leave possible by their bitmaps: (u, v, whole).
     Two small components give the pair of members; a large one is named as a whole (v) for the other's member u. nearest: of each
-    member only the pair with the one that is nearest by bitmaps."""
+    member only two pairs (u, v), with the one of all its groups that is nearest by bitmaps, and with the one of the least key, by
+    which the members of a group meet in one."""
     names = ["sig", "low", "high", "right", "key", "component", "size", "n", "bits"]
 
     def run(batches):
@@ -291,7 +295,7 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
             sig, low, high, right, key, comp, size, n = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in names[:-1])
             new = np.append(True, (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
             rows = _possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent, nearest)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["u", "v", "whole"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["u", "v", "differ" if nearest else "whole"])
 
         held: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
         for batch in batches:
@@ -311,7 +315,11 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield ready(pa.Table.from_batches(held))
 
     dealt = spread.select(names).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "right")
-    return dealt.mapInArrow(run, "u long, v long, whole boolean").distinct()
+    if not nearest:
+        return dealt.mapInArrow(tk.lean(run), "u long, v long, whole boolean").distinct()
+    ends = dealt.mapInArrow(tk.lean(run), "u long, v long, differ long").groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("a"), F.min("v").alias("b"))
+    pairs = ends.select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(False).alias("whole")).distinct()
 
 
 def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

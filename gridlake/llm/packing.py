@@ -263,10 +263,8 @@ def _pieces(df: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
                 ints = [pa.array(x, pa.int64()) for x in (start, length, crc, rank)]
                 cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *ints, pa.array(np.full(len(row), part), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "piece", "start", "length", "ids_crc32", "rank", "part"])
-        del enc
-        tk.trim()
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, rank long, part long")
+    return df.mapInArrow(tk.lean(run), f"id {df.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, rank long, part long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -300,4 +298,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: st
 
     ranked = pieces.join(before, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     kind = ranked.schema["id"].dataType.simpleString()
-    return ranked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(tk.lean(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

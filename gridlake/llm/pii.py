@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .sample import sampled_texts
-from .textkit import trim
 
 #: Kinds of base spans; what the field may add besides; and how labels are numbered: 0 is none of them.
 BASE, KINDS = ("email", "ip", "card", "phone"), ("email", "ip", "card", "phone", "secret")
@@ -287,10 +287,10 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: F
                 total.append(len(both))
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in count), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "n_spans"])
-            trim()
+            tk.trim()
 
     schema = f"id {df.schema[id_col].dataType.simpleString()}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string, n_added long, n_spans long"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tk.lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -311,6 +311,6 @@ def redact(df: DataFrame, text_col: str = "text", field: Field | None = None) ->
         for b in batches:
             texts = [t and redacted(t, field.spans(t, base_spans(t))) for t in (x.as_py() for x in b.column(at))]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
-            trim()
+            tk.trim()
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tk.lean(run), df.schema)

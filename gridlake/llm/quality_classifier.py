@@ -130,7 +130,7 @@ def _figured(df: DataFrame, extra: str, kind: str) -> DataFrame:
                 x = figures(t)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(x.tolist(), pa.list_(pa.float64()))], [extra, "x"])
 
-    return df.mapInArrow(run, f"{extra} {kind}, x array<double>")
+    return df.mapInArrow(tk.lean(run), f"{extra} {kind}, x array<double>")
 
 
 def remainder(id_col: str, of: int):
@@ -174,4 +174,4 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(tk.lean(run), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

@@ -79,7 +79,7 @@ def passing(df: DataFrame, text_col: str = "text", coverage: dict[int, float] |
             keep = [verdict(measure(t, tuple(coverage)), coverage, line_coverage, symbol_share, min_words)[1] for _, _, t in tk.texts_of(b.column(at))]
             yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tk.lean(run), df.schema)
 
 
 def repetition_coverage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: dict[int, float] | None = None, line_coverage: float = LINE_COVERAGE, symbol_share: float = SYMBOL_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -104,4 +104,4 @@ def repetition_coverage(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(cols, ["id", *counts, "base_failed", "kept", *shares])
 
     schema = f"id {kind}, {', '.join(f'{k} long' for k in counts)}, base_failed boolean, kept boolean, {', '.join(f'{k} double' for k in shares)}"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tk.lean(run), schema).withColumnRenamed("id", id_col)

@@ -82,7 +82,7 @@ def _spots(docs: DataFrame, target: int) -> DataFrame:
                     cols = [pa.array(a.grams[at].view(np.int64)), *sides, pa.array(th[lo + a.text[i]]), pa.array(at - a.first[a.text[i]])]
                     yield pa.RecordBatch.from_arrays(cols, ["short", "ahead", "back", "th", "word"])
 
-    return docs.mapInArrow(run, "short long, ahead long, back long, th long, word long")
+    return docs.mapInArrow(tk.lean(run), "short long, ahead long, back long, th long, word long")
 
 
 def _windows(docs: DataFrame, target: int) -> DataFrame:
@@ -100,7 +100,7 @@ def _windows(docs: DataFrame, target: int) -> DataFrame:
                 cols = [a.key[ok].view(np.int64), th[lo + a.text[ok]], a.at[ok] - a.first[a.text[ok]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "th", "word"])
 
-    return docs.mapInArrow(run, "h long, th long, word long")
+    return docs.mapInArrow(tk.lean(run), "h long, th long, word long")
 
 
 def _elsewhere(df: DataFrame, key: str, of: DataFrame | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def _cleaned(docs: DataFrame, target: int) -> DataFrame:
                 cols = [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array([x.decode() for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return docs.mapInArrow(tk.lean(run), f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept string, kept_sha256 string")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int = WINDOW) -> DataFrame:

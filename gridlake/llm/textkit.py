@@ -37,6 +37,16 @@ def trim() -> None:
         _trim(0)
 
 
+def lean(run):
+    """run, a function over Arrow batches, that leaves a worker without memory to spare when its task ends."""
+
+    def leaner(batches):
+        yield from run(batches)
+        trim()
+
+    return leaner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection that spreads every input bit."""
     x = x ^ (x >> U64(33))
