@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,20 @@ _CLASS[ord("0") : ord("9") + 1] = _N
 _CLASS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]] = _L
 
 
+@lru_cache(1)
+def tokenizer(path: str):
+    """The worker's own, kept from task to task: each time one is read some 40 MB are not given back."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Encoder:
     """Ids of whole texts. A text of ASCII and Latin letters is cut into pre-tokens by byte classes and each distinct
     pre-token is encoded once; any other text goes to the tokenizer as it is. Both give the tokenizer's ids."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
+        self.tok = tokenizer(path)
         self.clear()
 
     def clear(self):
@@ -245,7 +251,7 @@ def slots(chosen: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 def _pieces(df: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     def run(batches):
-        # a task's own: kept in a worker, it would take its 70 MB from whatever runs there next
+        # its tables are a task's own: kept in a worker, they would take their memory from whatever runs there next
         enc, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(1), chunk=1 << 19):
