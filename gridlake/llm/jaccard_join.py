@@ -33,6 +33,8 @@ WIDE, BITMAP_BYTES = 8, 4096
 LARGE = 16
 #: Members of a group, and features of their sets, that one task compares with the rest of the group.
 BLOCK, BLOCK_FEATURES = 2000, 2_000_000
+#: Rows of four numbers that are broadcast at most.
+BROADCAST_ROWS = 200_000
 #: Words of bitmaps that are compared at once.
 AT_ONCE = 1 << 20
 
@@ -225,7 +227,7 @@ def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, nearest: bool) -> list[np.ndarray]:
-    """What members in different components leave possible by their bitmaps, as arrays u, v and whole, or differ where nearest; see _across(). Groups stand one
+    """What members in different components leave possible by their bitmaps, as arrays u, v and whole, or, where nearest, u, v, differ and the groups that leave anything; see _across(). Groups stand one
     after the other, the left members of each before its right ones."""
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stop = np.append(edge[1:], len(group))
@@ -235,6 +237,7 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
     none = np.iinfo(np.int64).max
     best, least_key = np.full(len(group), none), np.full(len(group), none)  # of each member the least distance, and with whom; the least key
+    some: list[np.ndarray] = [np.zeros(0, group.dtype)]
     for w in np.unique(least).tolist():
         own = np.flatnonzero(least == w)
         at, row = _ragged(edge[own], stop[own])
@@ -265,6 +268,7 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             if nearest:
                 np.minimum.at(best, x, differ[look] << 32 | y)
                 np.minimum.at(best, y, differ[look] << 32 | x)
+                some.append(np.unique(group[x]))
                 np.minimum.at(least_key, x, key[y])
                 np.minimum.at(least_key, y, key[x])
                 continue
@@ -278,16 +282,16 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
     if nearest:
         x = np.flatnonzero(best < none)
         far = np.full(len(x), none)
-        return [np.concatenate([key[x], key[x]]), np.concatenate([key[best[x] & 0xFFFFFFFF], least_key[x]]), np.concatenate([best[x] >> 32, far])]
+        return [np.concatenate([key[x], key[x]]), np.concatenate([key[best[x] & 0xFFFFFFFF], least_key[x]]), np.concatenate([best[x] >> 32, far]), np.unique(np.concatenate(some))]
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
 def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Of members (sig, low, high, right, key, component, size, n, bits) of groups (sig, low, high): what a left and a right member,
     or two left ones where there is no right one, in different components leave possible by their bitmaps: (u, v, whole).
-    Two small components give the pair of members; a large one is named as a whole (v) for the other's member u. nearest: of each
-    member only two pairs (u, v), with the one of all its groups that is nearest by bitmaps, and with the one of the least key, by
-    which the members of a group meet in one."""
+    Two small components give the pair of members; a large one is named as a whole (v) for the other's member u. nearest: (u, v,
+    differ) of each member with the one that is nearest by bitmaps, and with the one of the least key, by which the members of a group
+    meet in one; and (sig, 0, -1) of each group that leaves anything possible: the others need not be looked at again."""
     names = ["sig", "low", "high", "right", "key", "component", "size", "n", "bits"]
 
     def run(batches):
@@ -295,6 +299,11 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
             sig, low, high, right, key, comp, size, n = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in names[:-1])
             new = np.append(True, (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
             rows = _possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent, nearest)
+            if nearest:
+                *rows, some = rows
+                left = sig[np.flatnonzero(new)[some - 1]]
+                rows = [np.concatenate([c, np.full(len(left), x)]) for c, x in zip(rows, (0, 0, -1), strict=True)]
+                rows[0][len(rows[0]) - len(left) :] = left
             return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["u", "v", "differ" if nearest else "whole"])
 
         held: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
@@ -315,11 +324,16 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield ready(pa.Table.from_batches(held))
 
     dealt = spread.select(names).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "right")
-    if not nearest:
-        return dealt.mapInArrow(tk.lean(run), "u long, v long, whole boolean").distinct()
-    ends = dealt.mapInArrow(tk.lean(run), "u long, v long, differ long").groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("a"), F.min("v").alias("b"))
+    if nearest:
+        return dealt.mapInArrow(tk.lean(run), "u long, v long, differ long")
+    return dealt.mapInArrow(tk.lean(run), "u long, v long, whole boolean").distinct()
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """Of what _across() gives for the nearest: two pairs (u, v) of each member."""
+    ends = near.where("differ >= 0").groupBy("u").agg(F.min_by("v", F.struct("differ", "v")).alias("a"), F.min("v").alias("b"))
     pairs = ends.select("u", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.lit(False).alias("whole")).distinct()
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -358,7 +372,8 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     members = members.drop("probes").join(sides, "component").select("component", "key", own("blocks").alias("block"), each("probes").alias("probe"), F.lit(True).alias("member"))
     probes = probes.join(sides, "component").select("component", "key", each("blocks").alias("block"), own("probes").alias("probe"), F.lit(False).alias("member"))
-    rows = members.unionByName(probes).join(sets.select("key", "items"), "key")
+    rows = members.unionByName(probes)
+    rows = rows.join(_thinned(sets.select("key", "items"), "key", rows.select("key")), "key")
     return rows.select("component", "block", "probe", "member", "key", "items").groupBy("component", "block", "probe").applyInArrow(run, "u long, v long")
 
 
@@ -398,6 +413,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     hopeful = kept(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"), "hopeful")
     release(df.sparkSession)
     wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
+    if hopeful.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # else the texts are moved
     found = _thinned(docs, "th", hopeful.select("th")).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
     alone, often = (_sets(found.where(c).select("key", "text"), ngram) for c in ("rows = 1", "rows > 1"))
     sets = kept(alone.union(often.dropDuplicates(["key"])), "sets")
@@ -411,17 +428,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     grouped = kept(signed.join(groups, "sig"), "grouped")
     release(df.sparkSession)
     comp = df.sparkSession.createDataFrame([], "node long, component long")
-    more = comp.toDF("u", "v")
-    for nearest in (True, False):
-        comp = comp if nearest else components(more)
-        doubtful = kept(_across(_spread(grouped, comp, sets), percent, nearest), f"doubtful-{nearest}")
-        release(df.sparkSession)
-        cells = doubtful.where("whole").select("u", F.col("v").alias("component"))
-        pairs = _verified(doubtful.where("not whole").select("u", "v"), sets, percent)
-        more = kept(pairs if nearest else pairs.union(_against_large(cells, comp, sets, percent)), f"links-{nearest}")
-        release(df.sparkSession)
+    near = kept(_across(_spread(grouped, comp, sets), percent, True), "near")
+    pairs = kept(_nearest(near), "pairs")
+    comp = components(kept(_verified(pairs, sets, percent), "linked"))
+    release(df.sparkSession)
+    grouped = grouped.join(near.where("differ < 0").select(F.col("u").alias("sig")).distinct(), "sig", "left_semi")
+    doubtful = kept(_across(_spread(grouped, comp, sets), percent, False), "doubtful")
+    release(df.sparkSession)
+    cells, pairs = doubtful.where("whole").select("u", F.col("v").alias("component")), doubtful.where("not whole").select("u", "v")
+    more = kept(_verified(pairs, sets, percent).union(_against_large(cells, comp, sets, percent)), "more")
+    release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
-    for name in ("hopeful", "sets", "groups", "grouped", "doubtful-True", "doubtful-False", "links-True", "links-False"):
+    for name in ("hopeful", "sets", "groups", "grouped", "near", "pairs", "linked", "doubtful", "more"):
         discard(df.sparkSession, f"{folder}/{name}")
 
     linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
