@@ -214,9 +214,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
             tk.trim()
 
-    items = _thinned(sets.select("key", "items"), "key", pairs.select("u").union(pairs.select("v")))
-    one, two = (items.select(F.col("key").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(tk.lean(run), "u long, v long")
+    items = sets.select("key", "items")
+    if pairs.count() <= BROADCAST_ROWS:
+        two = items.join(F.broadcast(pairs.select(F.col("v").alias("key")).distinct()), "key", "left_semi")
+        pairs = F.broadcast(pairs)
+    else:
+        items = two = _thinned(items, "key", pairs.select("u").union(pairs.select("v")))
+    one, two = (x.select(F.col("key").alias(k), F.col("items").alias(name)) for x, k, name in ((items, "u", "a"), (two, "v", "b")))
+    return one.join(pairs, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(tk.lean(run), "u long, v long")
 
 
 def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,8 +419,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     release(df.sparkSession)
     wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
     if hopeful.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)  # else the texts are moved
-    found = _thinned(docs, "th", hopeful.select("th")).join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
+        some, wanted = docs, F.broadcast(wanted)
+    else:  # texts are moved, but few that are not wanted
+        some = _thinned(docs, "th", hopeful.select("th"))
+    found = some.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
     alone, often = (_sets(found.where(c).select("key", "text"), ngram) for c in ("rows = 1", "rows > 1"))
     sets = kept(alone.union(often.dropDuplicates(["key"])), "sets")
     release(df.sparkSession)

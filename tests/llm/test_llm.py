@@ -140,8 +140,10 @@ def test_jaccard_components(spark, corpus):
     assert [got[i] for i in range(len(texts))] == [(len(s), c) for s, c in zip(sets, brute_components(sets), strict=True)]
 
 
-def test_jaccard_groups_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_jaccard_groups_in_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
     rng = random.Random(2)
     passage = prose(rng, 40)
     texts = [f"{passage} {prose(rng, 12)}" for _ in range(25)]
