@@ -28,13 +28,17 @@ SMALL, SECOND = 12, 2
 #: Sampled shingles for each set of the first pass: from SAMPLE to twice as many.
 SAMPLE = 48
 #: Buckets a feature of a bitmap, and its bytes at most.
-WIDE, BITMAP_BYTES = 8, 4096
+WIDE, BITMAP_BYTES = 4, 4096
 #: Size from which a component is compared as a whole.
 LARGE = 16
 #: Members of a group, and features of their sets, that one task compares with the rest of the group.
 BLOCK, BLOCK_FEATURES = 2000, 2_000_000
 #: Rows of four numbers that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Instead of a distance: a group to look at again; a pair of a group that gives all of its pairs.
+AGAIN, ALL = -1, -2
+#: Pairs a member, of 16 bytes each, that a group names at most, rather than have its members' bitmaps moved again; pairs that a task holds.
+NAMED, HELD = 16, 500_000
 #: Words of bitmaps that are compared at once.
 AT_ONCE = 1 << 20
 
@@ -180,6 +184,42 @@ def _signed(sets: DataFrame) -> DataFrame:
     return sets.select("key", "items").mapInArrow(tk.lean(run), "sig long, key long")
 
 
+def _met(signed: DataFrame) -> DataFrame:
+    """Of (sig, key): the rows of groups of two keys or more, moved once. One row of each group has m, x and y, its number of rows and two
+    sums of its keys' hashes, which groups of the same keys have in common; they are null in the others."""
+
+    def ready(sig: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        m = np.diff(np.append(first, len(sig)))
+        several = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+        keep = np.repeat(several, m)
+        head = np.zeros(len(sig), bool)
+        head[first] = True
+        head = head[keep]
+        told = [m]
+        for salt in (0x1111, 0x2222):
+            told.append(np.add.reduceat(tk.mix(key.view(np.uint64) ^ tk.U64(salt)), first).view(np.int64))
+        told = [pa.array(np.repeat(c, m)[keep], mask=~head) for c in told]
+        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(key[keep]), *told], ["sig", "key", "m", "x", "y"])
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of a group that may go on in the next batch
+        for b in batches:
+            sig, key = (np.asarray(b.column(k)) for k in range(2))
+            if not len(sig):
+                continue
+            last = int(np.searchsorted(sig, sig[-1]))  # where the last group begins
+            if last or held and held[-1][0][0] != sig[0]:
+                rows = [*held, (sig[:last], key[:last])]
+                yield ready(*(np.concatenate(c) for c in zip(*rows, strict=True)))
+                held = []
+            held.append((sig[last:], key[last:]))
+        if held:
+            yield ready(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(tk.lean(run), "sig long, key long, m long, x long, y long")
+
+
 def _set(x: pa.Scalar) -> np.ndarray:
     """The features in a binary value, not copied."""
     return np.frombuffer(x.as_buffer(), np.uint64)
@@ -231,9 +271,9 @@ def _ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + lo[place]
 
 
-def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, nearest: bool) -> list[np.ndarray]:
-    """What members in different components leave possible by their bitmaps, as arrays u, v and whole, or, where nearest, u, v, differ and the groups that leave anything; see _across(). Groups stand one
-    after the other, the left members of each before its right ones."""
+def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.ndarray, size: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, nearest: bool, limit: int) -> list[np.ndarray]:
+    """What members in different components leave possible by their bitmaps, as arrays u, v and whole, or, where nearest, u, v, differ, the groups that leave more than limit pairs a member, and the pairs of the others; see
+    _across(). Groups stand one after the other, the left members of each before its right ones."""
     edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     stop = np.append(edge[1:], len(group))
     words = np.array([len(x) for x in bits])
@@ -242,7 +282,9 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]]
     none = np.iinfo(np.int64).max
     best, least_key = np.full(len(group), none), np.full(len(group), none)  # of each member the least distance, and with whom; the least key
-    some: list[np.ndarray] = [np.zeros(0, group.dtype)]
+    most = limit * np.bincount(group)
+    left = np.zeros(len(most), np.int64)  # pairs that each group leaves
+    few: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2]
     for w in np.unique(least).tolist():
         own = np.flatnonzero(least == w)
         at, row = _ragged(edge[own], stop[own])
@@ -273,9 +315,11 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             if nearest:
                 np.minimum.at(best, x, differ[look] << 32 | y)
                 np.minimum.at(best, y, differ[look] << 32 | x)
-                some.append(np.unique(group[x]))
                 np.minimum.at(least_key, x, key[y])
                 np.minimum.at(least_key, y, key[x])
+                left += np.bincount(group[x], minlength=len(left))
+                look = left[group[x]] <= most[group[x]]
+                few.append([x[look], y[look]])
                 continue
             swap = (size[x] > size[y]) | (size[x] == size[y]) & (comp[x] > comp[y])
             x, y = np.where(swap, y, x), np.where(swap, x, y)  # y is in the larger component
@@ -285,9 +329,14 @@ def _possible(group: np.ndarray, right: np.ndarray, key: np.ndarray, comp: np.nd
             at = np.unique(np.stack(both), axis=1, return_index=True)[1]
             out.append([c[at] for c in both])
     if nearest:
-        x = np.flatnonzero(best < none)
-        far = np.full(len(x), none)
-        return [np.concatenate([key[x], key[x]]), np.concatenate([key[best[x] & 0xFFFFFFFF], least_key[x]]), np.concatenate([best[x] >> 32, far]), np.unique(np.concatenate(some))]
+        m = np.flatnonzero(best < none)
+        to = key[best[m] & 0xFFFFFFFF]
+        other = to != least_key[m]
+        x, y = (np.concatenate(c) for c in zip(*few, strict=True))
+        look = left[group[x]] <= most[group[x]]
+        x, y = key[x[look]], key[y[look]]
+        near = [np.concatenate([key[m], key[m[other]]]), np.concatenate([to, least_key[m[other]]]), np.concatenate([best[m] >> 32, np.full(other.sum(), none)])]
+        return [*near, np.flatnonzero(left > most), np.minimum(x, y), np.maximum(x, y)]
     return [np.concatenate(c) for c in zip(*out, strict=True)]
 
 
@@ -296,21 +345,33 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
     or two left ones where there is no right one, in different components leave possible by their bitmaps: (u, v, whole).
     Two small components give the pair of members; a large one is named as a whole (v) for the other's member u. nearest: (u, v,
     differ) of each member with the one that is nearest by bitmaps, and with the one of the least key, by which the members of a group
-    meet in one; and (sig, 0, -1) of each group that leaves anything possible: the others need not be looked at again."""
+    meet in one; of the groups that leave no more than NAMED pairs a member all pairs, as (u, v, ALL), and of each that leaves more
+    (sig, 0, AGAIN): only those need be looked at again."""
+    limit = NAMED
     names = ["sig", "low", "high", "right", "key", "component", "size", "n", "bits"]
 
     def run(batches):
         def ready(table: pa.Table):
             sig, low, high, right, key, comp, size, n = (np.asarray(table.column(c).combine_chunks().cast(pa.int64())) for c in names[:-1])
             new = np.append(True, (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-            rows = _possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent, nearest)
+            rows = _possible(np.cumsum(new), right > 0, key, comp, size, n, [_set(x) for x in table.column("bits")], percent, nearest, limit)
             if nearest:
-                *rows, some = rows
+                *rows, some, x, y = rows
+                named.append((x, y))
                 left = sig[np.flatnonzero(new)[some - 1]]
-                rows = [np.concatenate([c, np.full(len(left), x)]) for c, x in zip(rows, (0, 0, -1), strict=True)]
+                rows = [np.concatenate([c, np.full(len(left), x)]) for c, x in zip(rows, (0, 0, AGAIN), strict=True)]
                 rows[0][len(rows[0]) - len(left) :] = left
             return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["u", "v", "differ" if nearest else "whole"])
 
+        def distinct() -> pa.RecordBatch:
+            u, v = (np.concatenate(c) for c in zip(*named, strict=True))
+            order = np.lexsort((v, u))
+            u, v = u[order], v[order]
+            new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+            named.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (u[new], v[new], np.full(new.sum(), ALL))], ["u", "v", "differ"])
+
+        named: list[tuple[np.ndarray, np.ndarray]] = []
         held: list[pa.RecordBatch] = []  # of a group that may go on in the next batch
         for batch in batches:
             for lo in range(0, batch.num_rows, 2 * BLOCK):
@@ -324,9 +385,13 @@ def _across(spread: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 elif len(ends):
                     yield ready(pa.Table.from_batches([b.slice(0, ends[-1])]))
                 held.append(b.slice(ends[-1] if len(ends) else 0))
+                if sum(len(x) for x, _ in named) > HELD:
+                    yield distinct()
             tk.trim()
         if held:
             yield ready(pa.Table.from_batches(held))
+        if named:
+            yield distinct()
 
     dealt = spread.select(names).repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "right")
     if nearest:
@@ -341,6 +406,22 @@ def _nearest(near: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _placed(comp: DataFrame) -> DataFrame:
+    sizes = apart(comp, "component", F.count("*").alias("size"))
+    return comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
+
+
+def _parted(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Of pairs (u, v) those whose ends are in different components, as _across() gives them."""
+    for k in "uv":
+        side = _placed(comp).select(F.col("key").alias(k), F.col("component").alias(f"c{k}"), F.col("size").alias(f"s{k}"))
+        pairs = pairs.join(side, k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k)).withColumn(f"s{k}", F.coalesce(f"s{k}", F.lit(1)))
+    swap = F.expr("struct(su, cu) > struct(sv, cv)")
+    pairs = pairs.where("cu != cv").select("u", "v", F.when(swap, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("c"), (F.greatest("su", "sv") >= LARGE).alias("whole"))
+    u, v = (F.when(F.col("whole"), F.col(a)).otherwise(b) for a, b in (("x", F.least("u", "v")), ("c", F.greatest("u", "v"))))
+    return pairs.select(u.alias("u"), v.alias("v"), "whole").distinct()
+
+
 def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) of members u to large components, of cells (u, component): one for each where there is any. Members and
     components meet in blocks of BLOCK a side, so that a task holds two blocks whatever the component's size."""
@@ -385,9 +466,7 @@ def _against_large(cells: DataFrame, comp: DataFrame, sets: DataFrame, percent:
 def _spread(grouped: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """What _across() takes: the members (sig, blocks, key) of groups that hold several components, dealt in blocks. Who has no
     component yet is one of size 1."""
-    sizes = apart(comp, "component", F.count("*").alias("size"))
-    placed = comp.join(sizes, "component").select(F.col("node").alias("key"), "component", "size")
-    member = grouped.join(placed, "key", "left").select("sig", "blocks", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    member = grouped.join(_placed(comp), "key", "left").select("sig", "blocks", "key", F.coalesce("component", "key").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     mixed = apart(member, "sig", F.min("component").alias("p"), F.max("component").alias("q")).where("p != q").select("sig")
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     # each block of a group meets itself and every other block: (b, b) and (low, high)
@@ -427,26 +506,28 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     sets = kept(alone.union(often.dropDuplicates(["key"])), "sets")
     release(df.sparkSession)
 
-    signed = _signed(sets)
-    # of groups of the same members one is enough: their number, ends and two sums of hashes tell them apart
-    same = [F.count("*").alias("m"), F.min("key").alias("first"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")]
-    groups = signed.groupBy("sig").agg(*same).where("first != last").groupBy("m", "first", "last", "x", "y").agg(F.min("sig").alias("sig"))
-    groups = kept(groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "groups")
-    grouped = kept(signed.join(groups, "sig"), "grouped")
+    met = kept(_met(_signed(sets)), "met")
+    release(df.sparkSession)
+    # of groups of the same members one is enough: their number and two sums of hashes tell them apart
+    groups = met.where("m is not null").groupBy("m", "x", "y").agg(F.min("sig").alias("sig"))
+    groups = groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    grouped = kept(met.select("sig", "key").join(groups, "sig"), "grouped")
+    discard(df.sparkSession, f"{folder}/met")
     release(df.sparkSession)
     comp = df.sparkSession.createDataFrame([], "node long, component long")
     near = kept(_across(_spread(grouped, comp, sets), percent, True), "near")
     pairs = kept(_nearest(near), "pairs")
     comp = components(kept(_verified(pairs, sets, percent), "linked"))
     release(df.sparkSession)
-    grouped = grouped.join(near.where("differ < 0").select(F.col("u").alias("sig")).distinct(), "sig", "left_semi")
-    doubtful = kept(_across(_spread(grouped, comp, sets), percent, False), "doubtful")
+    grouped = grouped.join(near.where(F.col("differ") == AGAIN).select(F.col("u").alias("sig")).distinct(), "sig", "left_semi")
+    left = _parted(near.where(F.col("differ") == ALL).select("u", "v").distinct(), comp)
+    doubtful = kept(_across(_spread(grouped, comp, sets), percent, False).union(left), "doubtful")
     release(df.sparkSession)
     cells, pairs = doubtful.where("whole").select("u", F.col("v").alias("component")), doubtful.where("not whole").select("u", "v")
     more = kept(_verified(pairs, sets, percent).union(_against_large(cells, comp, sets, percent)), "more")
     release(df.sparkSession)
     comp = components(comp.toDF("u", "v").union(more))
-    for name in ("hopeful", "sets", "groups", "grouped", "near", "pairs", "linked", "doubtful", "more"):
+    for name in ("hopeful", "sets", "grouped", "near", "pairs", "linked", "doubtful", "more"):
         discard(df.sparkSession, f"{folder}/{name}")
 
     linked = classes.select("key", "least").join(comp.withColumnRenamed("node", "key"), "key")
@@ -468,8 +549,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Steps: (1) sampled shingles, with partial aggregation, rule out sets that share too little of their sample with any
     others (similar sets do so with a chance of about 1e-8, and none where all shingles are sampled); (2) the sets of the rest are built once for
     each class of equal sets; (3) PartEnum signatures group the sets; (4) members of a group are compared by bitmaps, in
-    blocks, and each is verified against the nearest one; (5) groups that still hold several components are compared across them, and
-    all pairs are verified that are still possible; whoever may belong to a large component is compared with that component's members, in blocks too.
+    blocks, and each is verified against the nearest one; (5) of pairs that are possible by their bitmaps, all between different
+    components are verified: a group that has few has named them, others that still hold several components are compared again; whoever may belong to a large component is compared with that component's members, in blocks too.
     Class and shingle hashes have 64 bits.
     """
     keys, classes = _classes(df, id_col, text_col, ngram, percent)

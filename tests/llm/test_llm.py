@@ -168,6 +168,46 @@ def test_jaccard_large_components(spark, monkeypatch):
     assert len(set(want)) > 1 and [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize(("named", "large"), [(16, 16), (16, 3), (0, 16)])
+def test_jaccard_groups_are_moved_once(spark, monkeypatch, named, large):
+    """Groups that can name what their bitmaps leave possible are not dealt again; signatures are dealt once, before they are grouped."""
+    monkeypatch.setattr(jaccard_join, "NAMED", named)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    rng = random.Random(21)
+    texts, dealt, signed = [], [], []
+    for _ in range(12):
+        base = prose(rng, 150).split()
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randint(0, 5)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    spread, sign = jaccard_join._spread, jaccard_join._signed
+    monkeypatch.setattr(jaccard_join, "_spread", lambda grouped, *rest: dealt.append(grouped.count()) or spread(grouped, *rest))
+    monkeypatch.setattr(jaccard_join, "_signed", lambda sets: signed.append(sign(sets)) or signed[-1])
+    table, plans = jaccard_join.table, []
+    monkeypatch.setattr(jaccard_join, "table", lambda df, path: plans.append(df._jdf.queryExecution().analyzed().toString()) or table(df, path))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(brute_sets(texts))
+    assert dealt[0] > 100 and (dealt[1] == 0) == (named > 0)
+    sig = signed[0].columns.index("sig")
+    assert sum(signed[0]._jdf.queryExecution().analyzed().output().apply(sig).toString() in p for p in plans) == 1
+
+
+def test_jaccard_groups_of_batches(spark):
+    """Groups whose rows lie in several Arrow batches."""
+    rows = [(s, k) for s, m in ((1, 1), (2, 5), (3, 23), (4, 2), (5, 5), (6, 1)) for k in range(m)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = jaccard_join._met(spark.createDataFrame(rows, "sig long, key long").coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["sig"], r["key"]) for r in got) == [(s, k) for s, k in rows if s not in (1, 6)]
+    heads = {r["sig"]: (r["m"], r["x"], r["y"]) for r in got if r["m"] is not None}
+    assert {s: h[0] for s, h in heads.items()} == {2: 5, 3: 23, 4: 2, 5: 5}
+    assert heads[2] == heads[5] and len(set(heads.values())) == 3 and sum(r["x"] is not None for r in got) == 4
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(1)
     for n in [*range(1, 60), 100, 300, 1000]:
