@@ -7,12 +7,25 @@ personal data is replaced, and what is left is packed into sequences.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import decontamination, jaccard_join, packing, pii, quality_rules
-from gridlake.llm.graph import discard, shared_folder
+from gridlake.llm.graph import BATCH_BYTES, discard, shared_folder
+
+
+def _lean(stage):
+    """The stage, in a session that gives workers small batches, as its table is written after this returns; a limit that the session has stays."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("personal data", personal_data), ("best-fit packing", packed)]
+STAGES = [(name, _lean(stage)) for name, stage in (("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("personal data", personal_data), ("best-fit packing", packed))]
 
 #: The join, the field and the packing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

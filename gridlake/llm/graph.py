@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,33 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back, so that lost executors cost nothing."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+#: Bytes of an Arrow batch that a worker is given, where the session names no limit: executor and worker hold several each.
+BATCH_BYTES = "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs meanwhile gives workers batches of about BATCH_BYTES; a session that has a limit of its own keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None:
+        spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
 
 
 def table(df: DataFrame, path: str) -> DataFrame:
     """df, written to path and read back. Unlike a checkpoint, which carries on the product of the sizes of all that was joined
     before it, the table has the size of its files: for results that go from one round of joins to the next."""
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -483,9 +483,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     folder = f"{shared_folder(df.sparkSession)}/jaccard-{uuid.uuid4().hex}"
     kept = lambda x, name: table(x, f"{folder}/{name}")
-    keys = kept(_keys(docs, ngram), "keys")
-    seen = keys.where("key is not null").select(F.explode("sample").alias("h"), "key")
-    keys = keys.drop("sample")
+    samples = kept(_keys(docs, ngram), "samples")
+    seen = samples.where("key is not null").select(F.explode("sample").alias("h"), "key")
+    keys = kept(samples.drop("sample"), "keys")
     shared = apart(seen, "h", F.min("key").alias("p"), F.max("key").alias("q")).where("p != q").select("h")
     back = seen.join(shared, "h", "left_semi").groupBy("key").agg(F.count_distinct("h").alias("met"))
     rows = keys.where("key is not null").groupBy("key", "id", "th").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
@@ -495,6 +495,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     # a partner of the next size up has half the sample; where none can be that large, much more has to be shared
     least = F.when(F.col("n") * 4 < 3 * 2 * SAMPLE * rate, 6).otherwise(12)
     hopeful = kept(back.join(classes, "key").where(F.col("met") * least * rate >= F.col("n") * 0.75).select("key", "first.*"), "hopeful")
+    discard(df.sparkSession, f"{folder}/samples")
     release(df.sparkSession)
     wanted = hopeful.select("key", F.col("id").alias("w_id"), F.col("th").alias("w_th"), "rows")
     if hopeful.count() <= BROADCAST_ROWS:
@@ -514,7 +515,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, ngram: int, percent: int
     grouped = kept(met.select("sig", "key").join(groups, "sig"), "grouped")
     discard(df.sparkSession, f"{folder}/met")
     release(df.sparkSession)
-    comp = df.sparkSession.createDataFrame([], "node long, component long")
+    # a range, as rows of Python's own would keep other workers alive for a while
+    comp = df.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     near = kept(_across(_spread(grouped, comp, sets), percent, True), "near")
     pairs = kept(_nearest(near), "pairs")
     comp = components(kept(_verified(pairs, sets, percent), "linked"))

@@ -194,6 +194,21 @@ def test_jaccard_groups_are_moved_once(spark, monkeypatch, named, large):
     assert sum(signed[0]._jdf.queryExecution().analyzed().output().apply(sig).toString() in p for p in plans) == 1
 
 
+def test_tables_are_written_in_small_batches(spark, tmp_path):
+    """Batches of wide rows are small, and a session's own limit holds."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(6000).coalesce(1).select(F.expr("repeat('x', 4000)").alias("text"))
+    rows = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    assert max(r["n"] for r in graph.table(rows, f"{tmp_path}/a").collect()) < 2000
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "2m")
+    try:
+        assert max(r["n"] for r in graph.table(rows, f"{tmp_path}/b").collect()) < 1000
+        assert spark.conf.get(name) == "2m"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_jaccard_groups_of_batches(spark):
     """Groups whose rows lie in several Arrow batches."""
     rows = [(s, k) for s, m in ((1, 1), (2, 5), (3, 23), (4, 2), (5, 5), (6, 1)) for k in range(m)]
