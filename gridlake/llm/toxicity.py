@@ -3,12 +3,13 @@
 Tokens that look disguised (digits or signs next to letters, letters repeated, letters set apart) become character
 lattices: a sign may stand for a letter or for nothing, a repeated letter for one, a space between single letters for
 nothing or for the end of a word. Viterbi decoding under a language model picks the likeliest words: known words by
-how often labelled texts have them, any other by a character model counted over the whole corpus. The restored words,
-and their beginnings, are then scored with weights learnt from labels.
+how often the corpus has them, any other by a character model; both are counted over every text. The restored words,
+and their beginnings, are then scored with weights learnt from every labelled row that is not held out.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .graph import discard, release, shared_folder, table
+from .jaccard_join import _thinned
 from .quality_classifier import remainder
 
-#: Labelled rows that the weights are learnt from at most: the first in hash order.
-LABELLED = 40_000
 #: Chance that any feature at all is taken for a toxic one by accident.
 ALPHA = 0.01
 #: Features kept at most, the most telling first.
@@ -305,9 +306,13 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
     docs = df.select(F.col(id_col), F.col(text_col).alias("text"))
     speller_counts = trigrams(docs.select("text"))
     known = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~held_out & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("label").alias("label"))  # of several labels the least
-    known = known.orderBy(F.xxhash64(id_col, F.lit(5)), id_col).limit(LABELLED)
-    some = docs.join(F.broadcast(known), id_col).select("label", "text")
-    words = known_words(some.select("text"))
+    known = known.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))
+    h = F.xxhash64(id_col).alias("gridlake_h")
+    folder = f"{shared_folder(df.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+    # of all labelled rows the texts, moved and written once; few others are moved with them
+    some = table(_thinned(docs.select(id_col, "text", h), "gridlake_h", known.select(h)).join(known, id_col).select("label", "text"), f"{folder}/labelled")
+    release(df.sparkSession)
+    words = known_words(docs.select("text"))
 
     def counted(batches):
         speller = Speller(speller_counts, words)
@@ -339,6 +344,7 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.minimum(scorer.evidence(t), 40))], ["label", "x"])
 
     fit = some.mapInArrow(tk.lean(weighed), "label int, x double").groupBy("label", F.round("x", 1).alias("x")).agg(F.count("*").alias("n")).collect()  # at most 802 rows
+    discard(df.sparkSession, folder)
     x, y, n = (np.array([float(r[c]) for r in fit]) for c in ("x", "label", "n"))
     a, b = 1.0, -3.0
     for _ in range(200 if len(fit) else 0):

@@ -556,6 +556,24 @@ def test_toxicity_of_long_disguises(spark):
     assert toxic_predictions(spark, added) == [1, 1, 1, 1, 0]
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """Words are counted over every text, weights over every labelled row that is not held out, ids of another integer type included."""
+    monkeypatch.setattr(toxicity, "LABELLED", 10, raising=False)
+    seen, count = [], toxicity.known_words
+    monkeypatch.setattr(toxicity, "known_words", lambda df: seen.append(df.count()) or count(df))
+    rng = random.Random(31)
+    vocabulary = [prose(rng, 1) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        w, toxic = [rng.choice(vocabulary) for _ in range(40)], i % 6 == 0
+        rows.append(" ".join(w + ["vermin", "scumbag"] * toxic))
+        if i < 400:
+            labels.append((i, 1, int(toxic)))
+    out = toxicity.classify(docs(spark, rows), spark.createDataFrame(labels, LABELS.replace("doc_id long", "doc_id int"))).collect()
+    assert seen == [600]
+    assert [r["predicted"] for r in sorted(out, key=lambda r: r["doc_id"])] == [int(i % 6 == 0) for i in range(600)]
+
+
 def test_toxicity_of_slight_disguises(spark):
     """A sign at an end, signs side by side, one letter doubled, in either case; and signs around plain words."""
     added = [
