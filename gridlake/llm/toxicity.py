@@ -64,10 +64,16 @@ class Speller:
 
     def __init__(self, counts: np.ndarray, words: dict[str, int] | None = None):
         c = counts.reshape(_SIZE, _SIZE, _SIZE) + 0.05
-        self.log = np.log(c / c.sum(axis=2, keepdims=True)).tolist()
-        total = np.log(max(sum((words or {}).values()), 1))
-        self.words = {w: float(np.log(n) - total) for w, n in (words or {}).items()}
-        self.begun = {w[:k] for w in self.words for k in range(1, len(w) + 1)}
+        self.log = np.log(c / c.sum(axis=2, keepdims=True)).ravel().tolist()
+        words = words or {}
+        n = np.array(list(words.values()), np.int64)
+        self.words = dict(zip(words, (np.log(n) - np.log(max(int(n.sum()), 1))).tolist(), strict=True))
+        self.begun: set[str] = set()
+        for w in self.words:
+            while w and w not in self.begun:
+                self.begun.add(w)
+                w = w[:-1]
+        self._ways: dict[tuple[str, bool, bool], list[tuple[str, float, int]]] = {}
         self._kept = lru_cache(200_000)(self._restore)
 
     def restore(self, token: str, whole: bool = False) -> str:
@@ -81,51 +87,58 @@ class Speller:
         """Log probability that a word ends in this state, None where none can."""
         if isinstance(state, str):
             return self.words.get(state) if state else 0.0
-        return self.log[state[0]][state[1]][0]
+        return self.log[state * _SIZE]
+
+    def _read(self, ch: str, again: bool, whole: bool) -> list[tuple[str, float, int]]:
+        """(letter, a space or nothing, log probability, letter's place) for what a character may stand for; again: it repeats a letter."""
+        ways: list[tuple[str, float]] = []
+        if ch == "\n":
+            ways.append((" ", 0.0))
+        elif "a" <= ch <= "z" or ch >= "\x80":
+            ways.append((ch, 0.0))
+            if again:
+                ways.append(("", SKIP))
+        ways += [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
+        if ch == " ":
+            ways.append((" ", END))
+        if ch in GAPS:
+            ways.append(("", SKIP))
+        elif not ways or ch in LEET and not whole:
+            ways.append(("", DROP))
+        return [(x, cost, ord(x) - 96 if "a" <= x <= "z" else 27) for x, cost in ways]
 
     def _restore(self, token: str, whole: bool) -> str:
-        # a state is what there is of a known word, or the last two letters of another one; what was read is a chain of (chain before, letter)
+        # a state is what there is of a known word, or the last two letters of another one (as one number); what was read is a
+        # chain of (chain before, letter)
+        log, begun, kept = self.log, self.begun, self._ways
         best: dict[object, tuple[float, tuple | None]] = {"": (0.0, None)}
         last = ""
         for ch in token:
-            ways: list[tuple[str, float]] = []
-            if ch == "\n":
-                ways.append((" ", 0.0))
-            elif "a" <= ch <= "z" or ch >= "\x80":
-                ways.append((ch, 0.0))
-                if ch == last:
-                    ways.append(("", SKIP))
-            ways += [(x, SUBSTITUTE) for x in LEET.get(ch, "")]
-            if ch == " ":
-                ways.append((" ", END))
-            if ch in GAPS:
-                ways.append(("", SKIP))
-            elif not ways or ch in LEET and not whole:
-                ways.append(("", DROP))
+            key = (ch, ch == last, whole)
+            ways = kept.get(key)
+            if ways is None:
+                ways = kept[key] = self._read(*key)
             if ch not in GAPS and ch != "\n":
                 last = ch
             new: dict[object, tuple[float, tuple | None]] = {}
-
-            def put(state, score, chain, new=new):
-                if state not in new or score > new[state][0]:
-                    new[state] = (score, chain)
-
             for state, (score, chain) in best.items():
-                for x, cost in ways:
+                known = isinstance(state, str)
+                for x, cost, k in ways:
                     if not x:
-                        put(state, score + cost, chain)
+                        if state not in new or score + cost > new[state][0]:
+                            new[state] = (score + cost, chain)
                     elif x == " ":
-                        if (end := self._ended(state)) is not None:
-                            put("", score + cost + end, (chain, x))
+                        if (end := self._ended(state)) is not None and ("" not in new or score + cost + end > new[""][0]):
+                            new[""] = (score + cost + end, (chain, x))
+                    elif known:
+                        if (to := state + x) in begun and (to not in new or score + cost > new[to][0]):
+                            new[to] = (score + cost, (chain, x))
+                        if not state and (k not in new or score + cost + OTHER + log[k] > new[k][0]):
+                            new[k] = (score + cost + OTHER + log[k], (chain, x))
                     else:
-                        k = ord(x) - 96 if "a" <= x <= "z" else 27
-                        if isinstance(state, str):
-                            if state + x in self.begun:
-                                put(state + x, score + cost, (chain, x))
-                            if not state:
-                                put((0, k), score + cost + OTHER + self.log[0][0][k], (chain, x))
-                        else:
-                            put((state[1], k), score + cost + self.log[state[0]][state[1]][k], (chain, x))
+                        to, now = state % _SIZE * _SIZE + k, score + cost + log[state * _SIZE + k]
+                        if to not in new or now > new[to][0]:
+                            new[to] = (now, (chain, x))
             best = new
         ends = [(score + end, chain) for state, (score, chain) in best.items() if (end := self._ended(state)) is not None]
         chain = max(ends, key=lambda x: x[0])[1]
@@ -221,7 +234,8 @@ def disguised(t: tk.Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     chars = t.chars_before()
     single = (chars[ends] - chars[starts] == 1) & (letter[starts] | _SIGN[data[starts]])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+    some = np.flatnonzero(edge[1::2] - edge[::2] > 1)
+    for lo, hi in zip(edge[::2][some].tolist(), edge[1::2][some].tolist(), strict=True):
         cuts = [lo, *(np.flatnonzero(np.diff(text[lo:hi])) + lo + 1).tolist(), hi]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1 and letter[starts[a:b]].any():
@@ -234,13 +248,31 @@ def disguised(t: tk.Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     return tokens, np.concatenate([text[picked][place], np.repeat(np.array(apart, np.int64), 2)]), np.concatenate([token, new])
 
 
-def features(t: tk.Texts, speller: Speller) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) once each: hashes of the words and of their first letters, with disguised words restored."""
+def _words_behind(tokens: list[str], speller: Speller) -> list[str]:
+    return [" ".join({speller.restore(w), speller.restore(w, True)} if not _SIGNS.isdisjoint(w) else {speller.restore(w)}) for w in tokens]
+
+
+def restored(t: tk.Texts, speller: Speller) -> list[str]:
+    """Each text in plain letters, followed by the words that its disguised tokens stand for: all that its features need."""
     tokens, of, token = disguised(t)
+    words, raw = _words_behind(tokens, speller), _PLAIN[t.data].tobytes()
+    parts = [[raw[a:b].decode()] for a, b in zip(t.off[:-1].tolist(), t.off[1:].tolist(), strict=True)]
+    pair = np.unique(of * len(tokens) + token)
+    for i, k in zip(*(x.tolist() for x in np.divmod(pair, max(len(tokens), 1))), strict=True):
+        parts[i].append(words[k])
+    return [" ".join(x) for x in parts]
+
+
+def features(t: tk.Texts, speller: Speller | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) once each: hashes of the words and of their first letters, with disguised words restored.
+
+    Without a speller nothing is restored: for texts that restored gave.
+    """
+    tokens, of, token = disguised(t) if speller else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     plain = tk.Texts(_PLAIN[t.data], t.off)
     parts = [_hashed(plain)]
     if tokens:
-        data = [" ".join({speller.restore(w), speller.restore(w, True)} if not _SIGNS.isdisjoint(w) else {speller.restore(w)}).encode() for w in tokens]
+        data = [x.encode() for x in _words_behind(tokens, speller)]
         extra = tk.Texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
         own, h = _hashed(extra)
         order = np.argsort(own, kind="stable")
@@ -307,19 +339,29 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
     speller_counts = trigrams(docs.select("text"))
     known = labels.select(id_col, F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").where(~held_out & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("label").alias("label"))  # of several labels the least
     known = known.withColumn(id_col, F.col(id_col).cast(df.schema[id_col].dataType))
+    words = known_words(docs.select("text"))
+    release(df.sparkSession)
+
+    def spelt(batches):
+        speller = Speller(speller_counts, words)
+        for b in batches:
+            for lo, hi, t in tk.texts_of(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(restored(t, speller), pa.string())], ["label", "text"])
+
     h = F.xxhash64(id_col).alias("gridlake_h")
     folder = f"{shared_folder(df.sparkSession)}/toxicity-{uuid.uuid4().hex}"
-    # of all labelled rows the texts, moved and written once; few others are moved with them
-    some = table(_thinned(docs.select(id_col, "text", h), "gridlake_h", known.select(h)).join(known, id_col).select("label", "text"), f"{folder}/labelled")
+    # of all labelled rows the texts, moved, restored and written once; few others are moved with them. Labels grow with the
+    # input, so that they are not broadcast at any size
+    some = _thinned(docs.select(id_col, "text", h), "gridlake_h", known.select(h)).join(known.hint("merge"), id_col).select("label", "text")
+    release(df.sparkSession)  # the words' files go with the second collection only, a job after the first
+    some = table(some.mapInArrow(tk.lean(spelt), "label int, text string"), f"{folder}/labelled")
     release(df.sparkSession)
-    words = known_words(docs.select("text"))
 
     def counted(batches):
-        speller = Speller(speller_counts, words)
         for b in batches:
             label = np.asarray(b.column(0))
             for lo, _, t in tk.texts_of(b.column(1)):
-                text, h = features(t, speller)
+                text, h = features(t, None)
                 key, at = np.unique(h, return_inverse=True)
                 toxic = np.bincount(at, label[lo + text]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at)), pa.array(toxic), pa.array(np.zeros(len(key), np.int64))], ["h", "n", "toxic", "texts"])
@@ -338,7 +380,6 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
     scorer = Scorer(None, keys, weights)
 
     def weighed(batches):
-        scorer.speller = Speller(speller_counts, words)  # each worker builds its own
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.minimum(scorer.evidence(t), 40))], ["label", "x"])
@@ -369,7 +410,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scorer = fitted(df, labels, held, id_col, text_col, label_col)
 
     def run(batches):
-        scorer.speller = Speller(scorer.counts, scorer.words)
+        scorer.speller = Speller(scorer.counts, scorer.words)  # each worker builds its own
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(2)):
                 s = scorer.score(t)

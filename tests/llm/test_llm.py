@@ -574,6 +574,33 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
     assert [r["predicted"] for r in sorted(out, key=lambda r: r["doc_id"])] == [int(i % 6 == 0) for i in range(600)]
 
 
+def test_toxicity_deals_labelled_texts_the_same_way_at_any_size(spark, monkeypatch):
+    """Few labels are joined as many are, after the words were counted; what is written is restored already."""
+    seen, write, count = [], toxicity.table, toxicity.known_words
+    monkeypatch.setattr(toxicity, "known_words", lambda df: seen.append("words") or count(df))
+    monkeypatch.setattr(toxicity, "table", lambda df, path: seen.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, path))
+    monkeypatch.setattr(toxicity, "discard", lambda spark, path: seen.append(spark.read.parquet(f"{path}/labelled").collect()))
+    rows = [None, "", "a stup1d stup1d one", "stupid is stupid as stupid does", "not labelled, s t u p i d"]
+    toxicity.classify(docs(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i in range(4)], LABELS), out=9)
+    order, plan, written = seen
+    assert order == "words" and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["label"], sorted(r["text"].split())) for r in written) == [
+        (0, []),
+        (0, sorted("a stup d stup d one stupid".split())),
+        (1, []),
+        (1, sorted(rows[3].split())),
+    ]
+
+
+def test_features_of_restored_texts_are_the_same():
+    texts = [None, "", "so st00pid", "a s t u p i d  idiot", "ÉÉ iddi0t! (a$$)", "2024 b2b", "plain words", "x"]
+    speller = toxicity.Speller(np.zeros(28**3), {"so": 9, "stupid": 5, "idiot": 5, "ass": 5})
+    ((_, _, t),) = tk.texts_of(pa.array(texts))
+    ((_, _, u),) = tk.texts_of(pa.array(toxicity.restored(t, speller)))
+    want, got = (set(zip(*(x.tolist() for x in toxicity.features(*y)), strict=True)) for y in ((t, speller), (u, None)))
+    assert want == got and len({text for text, _ in got}) == 6
+
+
 def test_toxicity_of_slight_disguises(spark):
     """A sign at an end, signs side by side, one letter doubled, in either case; and signs around plain words."""
     added = [
