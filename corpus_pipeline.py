@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import decontamination, jaccard_join, packing, pii, quality_rules
-from gridlake.llm.graph import BATCH_BYTES, discard, shared_folder
+from gridlake.llm.graph import BATCH_BYTES, discard, release, shared_folder
 
 
 def _lean(stage):
-    """The stage, in a session that gives workers small batches, as its table is written after this returns; a limit that the session has stays."""
+    """The stage, in a session that gives workers small batches, as its table is written after this returns; a limit that the session has stays.
+    What the stage before it has left in the driver goes first."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        release(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -7,9 +7,12 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import trim
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where none is named (tests on one machine), a temporary one."""
@@ -49,6 +52,7 @@ def table(df: DataFrame, path: str) -> DataFrame:
     before it, the table has the size of its files: for results that go from one round of joins to the next."""
     with small_batches(df.sparkSession):
         df.write.parquet(path)
+    trim_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -57,11 +61,28 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Give the driver's free memory outside its heap back to the system: Spark plans and broadcasts on hundreds of threads, whose
+    memory the C library otherwise keeps for each of them. What the JVM says of it; None from one without that command."""
+    trim()
+    jvm, array, server = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array, "javax.management.MBeanServer"
+    call = array(jvm.java.lang.Object, 4)
+    call[0], call[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    call[2], call[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    # by its interface, as Py4J may not look into the class behind it
+    invoke = next(x for x in jvm.java.lang.Class.forName(server).getMethods() if x.getName() == "invoke")
+    try:
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JJavaError:
+        return None
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more; it does so after a collection of the
-    driver's garbage, which may otherwise be half an hour away."""
+    driver's garbage, which may otherwise be half an hour away. Then free memory goes back to the system."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
 
 
 def apart(df: DataFrame, key: str, *aggregates) -> DataFrame:
@@ -88,6 +109,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         stars = table(small.where("u != v").distinct(), f"{folder}/{r + 1}")
         discard(spark, f"{folder}/{r}")
+        release(spark)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -235,6 +235,15 @@ def test_similar_sets_share_a_signature():
             assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
 
 
+def test_driver_memory_goes_back(spark, monkeypatch):
+    assert "Trim native heap" in graph.trim_driver(spark)
+    asked, trim = [], graph.trim_driver
+    monkeypatch.setattr(graph, "trim_driver", lambda s: asked.append(trim(s)))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")
+    assert {r["component"] for r in graph.components(edges).collect()} == {0}
+    assert len(asked) > 2 and all(asked)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100), (200, 100)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
