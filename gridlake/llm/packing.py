@@ -7,9 +7,11 @@ packed best-fit over counts. Pieces then find their sequence by their rank among
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ _CLASS[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)]]
 
 @lru_cache(1)
 def tokenizer(path: str):
-    """The worker's own, kept from task to task: each time one is read some 40 MB are not given back."""
+    """The worker's own, kept from task to task: each time one is read some 40 MB are not given back. It encodes in the task's thread:
+    short pieces dealt to a thread for each of the machine's CPUs take several times the CPU seconds, and other tasks need them."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -76,16 +80,21 @@ class Encoder:
         if self.n + len(keys) > len(self.keys):
             self.keys, self.at, self.size = (np.concatenate([x, np.zeros(len(keys) + len(x), x.dtype)]) for x in (self.keys, self.at, self.size))
         ids = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-        flat, size = np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int32)
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat
         new = slice(self.n, self.n + len(keys))
         self.keys[new], self.size[new], self.at[new] = keys, size, self.used + np.cumsum(size) - size
-        for e, s in zip(range(self.n, self.n + len(keys)), ((keys >> tk.U64(20)).astype(np.int64) & (len(self.slots) - 1)).tolist(), strict=True):
-            while self.slots[s] >= 0:
-                s = (s + 1) & (len(self.slots) - 1)
-            self.slots[s] = e
+        # all at once, each in the first free slot from its own on; of entries that meet in one, the others go on
+        left = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        slot = (keys >> tk.U64(20)).astype(np.int64) & (len(self.slots) - 1)
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            go = self.slots[slot] != left
+            left, slot = left[go], (slot[go] + 1) & (len(self.slots) - 1)
         self.n, self.used = self.n + len(keys), self.used + len(flat)
 
     def encode(self, t: tk.Texts) -> list[np.ndarray]:

@@ -1,8 +1,11 @@
 """The operators against brute force, and the cases every one of them has to stand."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -336,6 +339,38 @@ def test_encoder_is_the_tokenizer():
             assert list(got) == e.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_to_its_thread():
+    import public_tokenizers
+
+    code = """
+import os, sys
+import pyarrow as pa
+from gridlake.llm import packing, textkit as tk
+e = packing.Encoder(sys.argv[1])
+before = len(os.listdir("/proc/self/task"))
+for _, _, t in tk.texts_of(pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{'x' * (i // 676)}" for i in range(5000))])):
+    e.encode(t)
+assert e.n > 4000
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    run = subprocess.run([sys.executable, "-c", code, public_tokenizers.path("byte_bpe_50k.json")], env=env | {"PYTHONPATH": os.pathsep.join(sys.path)}, capture_output=True, text=True, timeout=60)
+    assert run.stdout.strip() == "0", run.stdout + run.stderr
+
+
+def test_learnt_pieces_are_found():
+    import public_tokenizers
+
+    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    e.slots = np.full(8192, -1, np.int32)  # crowded, so that many entries meet in a slot
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 63, 6000, dtype=np.uint64))
+    for some in (keys[::2], keys[1::2]):
+        e._learn(some, ["a"] * len(some))
+    found = e._find(keys)
+    assert (e.keys[found] == keys).all() and (found >= 0).all()
+    assert (e._find(keys + tk.U64(1)) == -1).sum() >= len(keys) - 5
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(3)
     for _ in range(5):
