@@ -743,6 +743,16 @@ def test_language_model_learns_from_every_word():
         assert set(np.concatenate(masked).tolist()) == set(range(30))
 
 
+def test_lm_scores_only_the_targets():
+    rng = np.random.default_rng(4)
+    net = lm_scoring.start()
+    net["bias"] += rng.normal(0, 30, lm_scoring.CLASSES - 1).astype(np.float32)
+    around, target = rng.integers(0, lm_scoring.CLASSES, (700, 2 * lm_scoring.CONTEXT)), rng.integers(0, lm_scoring.CLASSES - 1, 700)
+    got = lm_scoring.log_chances(net, around, target)
+    assert got.dtype == np.float32 and np.isfinite(got).all()
+    assert np.allclose(got, lm_scoring.forward({k: v.astype(np.float64) for k, v in net.items()}, around)[1][np.arange(700), target], rtol=1e-5, atol=1e-4)
+
+
 def test_language_model_gradient():
     rng = np.random.default_rng(1)
     net = {k: v.astype(np.float64) for k, v in lm_scoring.start().items()}
