@@ -9,8 +9,9 @@ and their beginnings, are then scored with weights learnt from every labelled ro
 
 from __future__ import annotations
 
+import re
 import uuid
-from functools import lru_cache
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,10 @@ SUBSTITUTE, SKIP, DROP, END = -0.7, -0.4, -6.0, -1.1
 #: Log probability of a word that is not known. Known are words of up to KNOWN_BYTES, the commonest KNOWN.
 OTHER = -5.0
 KNOWN, KNOWN_BYTES = 100_000, 32
-#: Tokens of more characters are decoded as they come and not kept.
-CACHED = 64
+#: What is behind a disguised word is kept for so many words of up to KEPT_BYTES; others are decoded as they come.
+KEPT, KEPT_BYTES = 200_000, 64
+#: A token of letters alone with up to so many forms, its repeated letters left or taken for fewer, needs no lattice.
+FORMS = 16
 _SIZE = 28
 
 _CODE = np.zeros(256, np.int64)
@@ -52,11 +55,27 @@ _CODE[128:] = 27
 _LETTER = _CODE > 0
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in (*LEET, *GAPS) if c != " "]] = True
-_SIGNS = frozenset(LEET)
+_SIGNS, _AROUND = frozenset(LEET), frozenset(AROUND)
+_LETTERS = re.compile("[a-z\x80-\U0010ffff]+").fullmatch
+_RUNS = re.compile(r"(.)\1+", re.DOTALL).finditer
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in LEET]] = True
 _PLAIN = tk.LOWER.copy()
 _PLAIN[[i for i in range(128) if not chr(i).isalpha()]] = 32
+#: Bytes of the character that a byte begins.
+_BYTES = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
+
+
+def _forms(token: str) -> list[str]:
+    """The token with each run of a letter as long as it is or shorter; nothing if these are more than FORMS."""
+    forms, at = [""], 0
+    for run in _RUNS(token):
+        a, b = run.span()
+        if len(forms) * (b - a) > FORMS:
+            return []
+        forms = [f + token[at:a] + token[a] * k for f in forms for k in range(b - a, 0, -1)]
+        at = b
+    return [f + token[at:] for f in forms]
 
 
 class Speller:
@@ -64,7 +83,8 @@ class Speller:
 
     def __init__(self, counts: np.ndarray, words: dict[str, int] | None = None):
         c = counts.reshape(_SIZE, _SIZE, _SIZE) + 0.05
-        self.log = np.log(c / c.sum(axis=2, keepdims=True)).ravel().tolist()
+        self._logs = np.log(c / c.sum(axis=2, keepdims=True)).ravel()
+        self.log = self._logs.tolist()
         words = words or {}
         n = np.array(list(words.values()), np.int64)
         self.words = dict(zip(words, (np.log(n) - np.log(max(int(n.sum()), 1))).tolist(), strict=True))
@@ -74,14 +94,46 @@ class Speller:
                 self.begun.add(w)
                 w = w[:-1]
         self._ways: dict[tuple[str, bool, bool], list[tuple[str, float, int]]] = {}
-        self._kept = lru_cache(200_000)(self._restore)
-
-    def restore(self, token: str, whole: bool = False) -> str:
-        """The likeliest words behind a lower-case token of any length; a line break in it ends a word for certain.
-
-        Where whole is set, every sign that may stand for a letter does.
-        """
-        return self._kept(token, whole) if len(token) <= CACHED else self._restore(token, whole)
+        self._kept: dict[bytes, str] = {}
+
+    def behind(self, words: Collection[bytes]) -> list[str]:
+        """For each word all words that its shapes stand for, in one string."""
+        new = [w for w in words if w not in self._kept]
+        if len(self._kept) + len(new) > KEPT:
+            self._kept, new = {}, list(words)
+        shapes = [_shapes(w) for w in new]
+        spelt = iter(_words_behind([x for own in shapes for x in own], self))
+        now = {w: " ".join([next(spelt) for _ in own]) for w, own in zip(new, shapes, strict=True)}
+        out = [now[w] if w in now else self._kept[w] for w in words]
+        if len(now) <= KEPT:
+            self._kept |= {w: x for w, x in now.items() if len(w) <= KEPT_BYTES}
+        return out
+
+    def restore_all(self, tokens: list[str]) -> list[str]:
+        """What restore gives for each token. Of tokens of letters alone, all forms are weighed together, not in a lattice each."""
+        out, forms, of = [], [], []
+        for w in tokens:
+            own = _forms(w) if _LETTERS(w) else []
+            if len(own) > 1:
+                forms += own
+                of += [len(out)] * len(own)
+            out.append(w if own else self.restore(w))
+        if not forms:
+            return out
+        c = np.frombuffer("".join(f"{f}\n" for f in forms).encode("utf-32-le"), np.uint32).astype(np.int64)
+        c = np.where(c == 10, 0, np.where(c < 128, c - 96, 27))
+        size, of = np.array([len(f) for f in forms]), np.array(of)
+        start = np.concatenate([[0], c[:-1]])
+        before = np.concatenate([[0, 0], c[:-2]]) * (start > 0)
+        other = OTHER + np.add.reduceat(self._logs[(before * _SIZE + start) * _SIZE + c], np.cumsum(size + 1) - size - 1)
+        known = np.array([self.words.get(f, -np.inf) for f in forms])
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        many = np.diff(first, append=len(of))
+        score = np.maximum(known, other) + SKIP * (np.repeat(size[first], many) - size)  # the longest form is the token
+        best = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, first), many))
+        for k in best[::-1].tolist():
+            out[of[k]] = forms[k]
+        return out
 
     def _ended(self, state) -> float | None:
         """Log probability that a word ends in this state, None where none can."""
@@ -107,7 +159,11 @@ class Speller:
             ways.append(("", DROP))
         return [(x, cost, ord(x) - 96 if "a" <= x <= "z" else 27) for x, cost in ways]
 
-    def _restore(self, token: str, whole: bool) -> str:
+    def restore(self, token: str, whole: bool = False) -> str:
+        """The likeliest words behind a lower-case token of any length; a line break in it ends a word for certain.
+
+        Where whole is set, every sign that may stand for a letter does.
+        """
         # a state is what there is of a known word, or the last two letters of another one (as one number); what was read is a
         # chain of (chain before, letter)
         log, begun, kept = self.log, self.begun, self._ways
@@ -149,6 +205,17 @@ class Speller:
         return "".join(reversed(out))
 
 
+_spellers: dict[str, Speller] = {}
+
+
+def _speller(key: str, counts: np.ndarray, words: dict[str, int]) -> Speller:
+    """The Speller of one fit, which a worker builds once for all its tasks, so that it decodes a word once. It keeps the last one only."""
+    if key not in _spellers:
+        _spellers.clear()
+        _spellers[key] = Speller(counts, words)
+    return _spellers[key]
+
+
 def known_words(df: DataFrame) -> dict[str, int]:
     """How often the texts of the column text have each word: the commonest KNOWN of those that occur three times."""
 
@@ -172,6 +239,7 @@ def trigrams(df: DataFrame) -> np.ndarray:
     """Counts of character trigrams over every text of the column text; what is not a letter ends a word."""
 
     def run(batches):
+        _spellers.clear()  # those of an earlier fit
         total = np.zeros(_SIZE**3, np.int64)
         for b in batches:
             for _, _, t in tk.texts_of(b.column(0)):
@@ -197,15 +265,27 @@ def _spread(of: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, np.arange(len(place)) - np.repeat(np.cumsum(many) - many, many) + (np.cumsum(count) - count)[of][place]
 
 
-def disguised(t: tk.Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _shapes(word: bytes) -> list[str]:
+    """A word in lower case, with and without signs AROUND its ends."""
+    token = word.decode().lower().strip(_ENDS)
+    if len(token) < 2:
+        return []
+    if token[0] not in _AROUND and token[-1] not in _AROUND:
+        return [token]
+    return sorted(x for x in {token, token.lstrip(AROUND), token.rstrip(AROUND), token.strip(AROUND + _ENDS)} if len(x) > 1)
+
+
+def disguised(t: tk.Texts, speller: Speller | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(tokens, text, token) of the tokens that look disguised, in lower case, with and without signs AROUND their ends.
 
     Letters set apart come twice: in one, and with spaces, a line break where there is more space than elsewhere.
+    With a speller, the words behind them stand for the tokens.
     """
     starts, ends, first = t.words
     if not len(starts):
         return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     data = t.data
+    size = ends - starts
     letter = _LETTER[data]
     near = np.zeros(len(data) + 1, bool)
     near[:-1] = letter | ((data >= 48) & (data < 58))
@@ -215,24 +295,17 @@ def disguised(t: tk.Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
     double = np.zeros(len(data), bool)
     double[:-1] = letter[:-1] & (lower[:-1] == lower[1:]) & (data[:-1] < 128)
     double[ends - 1] = False
-    total = lambda x: np.concatenate([[0], np.cumsum(x)])
-    n_odd, n_letter = total(gap | _LEET[data] | double), total(letter)
-    pick = (n_odd[ends] > n_odd[starts]) & (n_letter[ends] - n_letter[starts] >= 1)
+    has = lambda x: np.logical_or.reduceat(x, starts)  # noqa: E731  # up to the next word: white space is no letter and not odd
     text = np.repeat(np.arange(t.n), np.diff(first))
     raw = data.tobytes()
-    picked = np.flatnonzero(pick)
-    _, at, which = np.unique(t.word_hashes()[picked], return_index=True, return_inverse=True)
-    tokens, count = [], np.zeros(len(at), np.int64)
-    for u, i in enumerate(picked[at].tolist()):
-        token = raw[starts[i] : ends[i]].decode().lower().strip(_ENDS)
-        forms = {token, token.lstrip(AROUND), token.rstrip(AROUND), token.strip(AROUND + _ENDS)}
-        own = sorted(x for x in forms if len(x) > 1)
-        count[u] = len(own)
-        tokens += own
-    place, token = _spread(which, count)
-    apart = []
-    chars = t.chars_before()
-    single = (chars[ends] - chars[starts] == 1) & (letter[starts] | _SIGN[data[starts]])
+    picked = np.flatnonzero(has(gap | _LEET[data] | double) & has(letter))
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts[picked].tolist(), ends[picked].tolist(), strict=True)], np.int64)
+    shapes = [[x] for x in speller.behind(seen)] if speller else [_shapes(w) for w in seen]
+    tokens = [x for own in shapes for x in own]
+    place, token = _spread(which, np.array([len(own) for own in shapes], np.int64))
+    apart, spaced = [], []
+    single = (size == _BYTES[data[starts]]) & (letter[starts] | _SIGN[data[starts]])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     some = np.flatnonzero(edge[1::2] - edge[::2] > 1)
     for lo, hi in zip(edge[::2][some].tolist(), edge[1::2][some].tolist(), strict=True):
@@ -243,43 +316,48 @@ def disguised(t: tk.Texts) -> tuple[list[str], np.ndarray, np.ndarray]:
                 wide = starts[a + 1 : b] - ends[a : b - 1]
                 gaps = np.where(wide > wide.min(), "\n", " ").tolist()
                 apart.append(int(text[a]))
-                tokens += ["".join(own), "".join(x for pair in zip(own, [*gaps, ""], strict=True) for x in pair)]
+                spaced += ["".join(own), "".join(x for pair in zip(own, [*gaps, ""], strict=True) for x in pair)]
+    tokens += _words_behind(spaced, speller) if speller else spaced
     new = np.arange(len(tokens) - 2 * len(apart), len(tokens))
     return tokens, np.concatenate([text[picked][place], np.repeat(np.array(apart, np.int64), 2)]), np.concatenate([token, new])
 
 
 def _words_behind(tokens: list[str], speller: Speller) -> list[str]:
-    return [" ".join({speller.restore(w), speller.restore(w, True)} if not _SIGNS.isdisjoint(w) else {speller.restore(w)}) for w in tokens]
+    out = speller.restore_all(tokens)
+    return [x if _SIGNS.isdisjoint(w) else " ".join({x, speller.restore(w, True)}) for w, x in zip(tokens, out, strict=True)]
 
 
 def restored(t: tk.Texts, speller: Speller) -> list[str]:
     """Each text in plain letters, followed by the words that its disguised tokens stand for: all that its features need."""
-    tokens, of, token = disguised(t)
-    words, raw = _words_behind(tokens, speller), _PLAIN[t.data].tobytes()
+    words, of, token = disguised(t, speller)
+    raw = _PLAIN[t.data].tobytes()
     parts = [[raw[a:b].decode()] for a, b in zip(t.off[:-1].tolist(), t.off[1:].tolist(), strict=True)]
-    pair = np.unique(of * len(tokens) + token)
-    for i, k in zip(*(x.tolist() for x in np.divmod(pair, max(len(tokens), 1))), strict=True):
+    pair = np.unique(of * len(words) + token)
+    for i, k in zip(*(x.tolist() for x in np.divmod(pair, max(len(words), 1))), strict=True):
         parts[i].append(words[k])
     return [" ".join(x) for x in parts]
 
 
-def features(t: tk.Texts, speller: Speller | None) -> tuple[np.ndarray, np.ndarray]:
+def features(t: tk.Texts, speller: Speller | None, among=None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) once each: hashes of the words and of their first letters, with disguised words restored.
 
-    Without a speller nothing is restored: for texts that restored gave.
+    Without a speller nothing is restored: for texts that restored gave. among(features) tells which are wanted, if not all.
     """
-    tokens, of, token = disguised(t) if speller else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    words, of, token = disguised(t, speller) if speller else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     plain = tk.Texts(_PLAIN[t.data], t.off)
     parts = [_hashed(plain)]
-    if tokens:
-        data = [x.encode() for x in _words_behind(tokens, speller)]
+    if words:
+        data = [x.encode() for x in words]
         extra = tk.Texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
         own, h = _hashed(extra)
         order = np.argsort(own, kind="stable")
-        pair = np.unique(of * len(tokens) + token)
-        place, at = _spread(pair % len(tokens), np.bincount(own, minlength=len(tokens)))
-        parts.append(((pair // len(tokens))[place], h[order][at]))
+        pair = np.unique(of * len(words) + token)
+        place, at = _spread(pair % len(words), np.bincount(own, minlength=len(words)))
+        parts.append(((pair // len(words))[place], h[order][at]))
     text, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if among is not None:
+        wanted = among(h)
+        text, h = text[wanted], h[wanted]
     own = tk.mix(text.astype(np.uint64) + tk.U64(1))
     keep = np.unique(h ^ own, return_index=True)[1]
     return text[keep], h[keep]
@@ -304,15 +382,22 @@ class Scorer:
 
     def __init__(self, speller: Speller | None, keys: np.ndarray, weights: np.ndarray, curve: tuple[float, float] = (1.0, 0.0)):
         order = np.argsort(keys)
-        self.speller, self.keys, self.weights, self.curve = speller, keys[order], weights[order], curve
+        self.speller, self.keys, self.weights, self.curve, self._low = speller, keys[order], weights[order], curve, None
+
+    def _weighed(self, h: np.ndarray) -> np.ndarray:
+        """Places of the features that have a weight; most are told by their low bits."""
+        if self._low is None:  # in a worker, so that it is not sent there
+            self._low = np.zeros(1 << 20, bool)
+            self._low[(self.keys & tk.U64(0xFFFFF)).astype(np.int64)] = True
+        some = np.flatnonzero(self._low[(h & tk.U64(0xFFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+        return some[self.keys[at] == h[some]]
 
     def evidence(self, t: tk.Texts) -> np.ndarray:
-        text, h = features(t, self.speller)
         if not len(self.keys):
             return np.zeros(t.n)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return np.bincount(text[hit], self.weights[at[hit]], t.n).astype(float)  # whole numbers where nothing is hit
+        text, h = features(t, self.speller, self._weighed)
+        return np.bincount(text, self.weights[np.searchsorted(self.keys, h)], t.n).astype(float)  # whole numbers where nothing is hit
 
     def score(self, t: tk.Texts) -> np.ndarray:
         a, b = self.curve
@@ -342,14 +427,16 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
     words = known_words(docs.select("text"))
     release(df.sparkSession)
 
+    fit = uuid.uuid4().hex
+
     def spelt(batches):
-        speller = Speller(speller_counts, words)
+        speller = _speller(fit, speller_counts, words)
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(restored(t, speller), pa.string())], ["label", "text"])
 
     h = F.xxhash64(id_col).alias("gridlake_h")
-    folder = f"{shared_folder(df.sparkSession)}/toxicity-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(df.sparkSession)}/toxicity-{fit}"
     # of all labelled rows the texts, moved, restored and written once; few others are moved with them. Labels grow with the
     # input, so that they are not broadcast at any size
     some = _thinned(docs.select(id_col, "text", h), "gridlake_h", known.select(h)).join(known.hint("merge"), id_col).select("label", "text")
@@ -384,18 +471,18 @@ def fitted(df: DataFrame, labels: DataFrame, held_out, id_col: str, text_col: st
             for lo, hi, t in tk.texts_of(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.minimum(scorer.evidence(t), 40))], ["label", "x"])
 
-    fit = some.mapInArrow(tk.lean(weighed), "label int, x double").groupBy("label", F.round("x", 1).alias("x")).agg(F.count("*").alias("n")).collect()  # at most 802 rows
+    curve = some.mapInArrow(tk.lean(weighed), "label int, x double").groupBy("label", F.round("x", 1).alias("x")).agg(F.count("*").alias("n")).collect()  # at most 802 rows
     discard(df.sparkSession, folder)
-    x, y, n = (np.array([float(r[c]) for r in fit]) for c in ("x", "label", "n"))
+    x, y, n = (np.array([float(r[c]) for r in curve]) for c in ("x", "label", "n"))
     a, b = 1.0, -3.0
-    for _ in range(200 if len(fit) else 0):
+    for _ in range(200 if len(curve) else 0):
         s = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
         h = n * np.maximum(s * (1 - s), 1e-6)
         hess = np.array([[(h * x * x).sum() + 0.1, (h * x).sum()], [(h * x).sum(), h.sum() + 0.1]])
         move = np.linalg.solve(hess, [(n * (s - y) * x).sum() + 0.1 * (a - 1), (n * (s - y)).sum()])
         a, b = a - np.clip(move[0], -1, 1), b - np.clip(move[1], -1, 1)
     scorer.curve = (max(a, 0.0), b)
-    scorer.counts, scorer.words = speller_counts, words
+    scorer.fit, scorer.counts, scorer.words = fit, speller_counts, words
     return scorer
 
 
@@ -410,7 +497,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scorer = fitted(df, labels, held, id_col, text_col, label_col)
 
     def run(batches):
-        scorer.speller = Speller(scorer.counts, scorer.words)  # each worker builds its own
+        scorer.speller = _speller(scorer.fit, scorer.counts, scorer.words)
         for b in batches:
             for lo, hi, t in tk.texts_of(b.column(2)):
                 s = scorer.score(t)

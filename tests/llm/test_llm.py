@@ -668,6 +668,48 @@ def test_signs_at_ends_are_decoded():
     assert set(enumerate(rows.values())) <= got
 
 
+def test_repeated_letters_are_weighed_without_a_lattice(monkeypatch):
+    """Tokens of letters alone become what a lattice makes of them, which only signs and many repeats still need."""
+    rng = random.Random(10)
+    speller = toxicity.Speller(np.array([rng.random() * 20 for _ in range(28**3)]), {"so": 9, "stupid": 5, "idiot": 5, "letter": 5, "été": 3})
+    plain = ["so", "stuupid", "iddiot", "letter", "lettter", "ééttéé", "aabbccdd", "uuuu"] + ["".join(rng.choice("abcé") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    hard = ["st" + "u" * 100 + "pid", "aabbccddeeff", "s-tuupid", "aa#", "l\ne"]
+    want, decoded, restore = [speller.restore(w) for w in plain + hard], [], speller.restore
+    assert want[:6] == ["so", "stupid", "idiot", "letter", "letter", "été"]
+    monkeypatch.setattr(speller, "restore", lambda w, whole=False: decoded.append(w) or restore(w, whole))
+    assert toxicity._words_behind(plain + hard, speller) == want
+    assert decoded == [w for w in plain if not toxicity._forms(w)] + hard and len(decoded) < 20
+
+
+def test_disguised_words_are_decoded_once(monkeypatch):
+    """A worker decodes a word once for all its tasks, and right where more words come than it keeps."""
+    counts, words = np.zeros(28**3), {"so": 9, "stupid": 5, "idiot": 5}
+    want = {b"STUUPID": {"stupid"}, b"idi0t": {"idiot"}, b"$tupid.": {"stupid"}, b"x": set()}
+    for kept in (toxicity.KEPT, 2, 0):
+        monkeypatch.setattr(toxicity, "KEPT", kept)
+        speller, decoded = toxicity.Speller(counts, words), []
+        monkeypatch.setattr(speller, "restore", lambda w, whole=False, restore=speller.restore: decoded.append(w) or restore(w, whole))
+        for some in ([b"idi0t", b"x"], [b"STUUPID", b"idi0t"], list(want), [b"idi0t"]):
+            assert [set(x.split()) for x in speller.behind(some)] == [want[w] for w in some]
+        if kept > 2:
+            assert sorted(decoded) == ["$tupid"] * 2 + ["idi0t"] * 2  # with signs taken for nothing and not
+    first = toxicity._speller("a", counts, words)
+    assert toxicity._speller("a", counts, words) is first and toxicity._speller("b", counts, {}) is not first
+    assert list(toxicity._spellers) == ["b"]
+
+
+def test_only_weighed_features_are_told_apart():
+    speller = toxicity.Speller(np.zeros(28**3), {"so": 9, "stupid": 5, "idiot": 5})
+    ((_, _, t),) = tk.texts_of(pa.array([None, "so st00pid st00pid", "stupid", "idiot stupid so", "a s t u p i d"]))
+    text, h = toxicity.features(t, speller)
+    keys = np.unique(h)[::2]
+    weights = np.arange(1.0, len(keys) + 1)
+    scorer = toxicity.Scorer(speller, keys, weights)
+    weight = dict(zip(keys.tolist(), weights.tolist(), strict=True))
+    want = [sum(weight.get(k, 0) for i, k in zip(text.tolist(), h.tolist(), strict=True) if i == n) for n in range(t.n)]
+    assert scorer.evidence(t).tolist() == want and len(scorer._weighed(h)) < len(h)
+
+
 def test_extraction_of_made_up_pages():
     rng = np.random.default_rng(99)
     texts = [f"Sentence {i} of some length, with a comma and an end. And another one follows it, number {i * 7}." for i in range(60)]
