@@ -71,8 +71,7 @@ def _written(lake: Lake, rows: DataFrame, control: str, grid: Grid) -> tuple:
 
 
 def _staged(lake: Lake, m: Manifest) -> DataFrame:
-    files = [f"{lake.root}/{f}" for _, f in m.staging["held"]]
-    return lake.spark.read.schema(lake.schema(m)).parquet(*files) if files else lake.spark.createDataFrame([], lake.schema(m))
+    return scan.of_files(lake, m, (f for _, f in m.staging["held"]))
 
 
 def _copy(lake: Lake, m: Manifest, p: Part, grid: Grid) -> str:
@@ -85,7 +84,7 @@ def _copy(lake: Lake, m: Manifest, p: Part, grid: Grid) -> str:
         rest = rest[: next((k for k, n in enumerate(total) if n >= batch), len(rest)) + 1]
         rows = rows.where(grid.within_col(F.col(control), rest[0][0], rest[-1][1]))
     held = _written(lake, rows, control, grid)
-    n = lake.spark.read.parquet(*(f"{lake.root}/{f}" for _, f in held)).count() if held else 0
+    n = scan.of_files(lake, m, (f for _, f in held)).count()
     lake.publish(replace(m, staging=s | {"copied": s["copied"] + len(rest), "held": (*s["held"], *held), "rows": s["rows"] + n}))
     return f"copied:{n}"
 
@@ -98,8 +97,8 @@ def _reconciled(lake: Lake, m: Manifest, p: Part, grid: Grid) -> str:
     touched = source.join(keys, key, "left_semi").select(TILE).union(staged.join(keys, key, "left_semi").select(TILE)).distinct()
     tiles = {r[TILE] for r in touched.collect()}  # a row for each tile
     if tiles:
-        some = F.col(TILE).isin([literal(x) for x in sorted(tiles)])
-        anew = _written(lake, reconcile(staged.where(some), source.where(some), keys, key), c.control, grid)
+        some = F.broadcast(lake.spark.createDataFrame([(x,) for x in sorted(tiles)], f"{TILE} {source.schema[TILE].dataType.simpleString()}"))  # a bound for each tile, which the manifest holds too
+        anew = _written(lake, reconcile(*(df.join(some, TILE, "left_semi").select(df.columns) for df in (staged, source)), keys, key), c.control, grid)
         s = s | {"held": (*(x for x in s["held"] if x[0] not in tiles), *anew)}
     n = keys.count()
     lake.publish(replace(m, staging=s, delta=()))
